@@ -1,7 +1,7 @@
 """The queries and SQL of the operators, by name."""
 
-from symlake.llm import decontam, langid, minhash, mixing, tokens, toxicity, vectors, warc
+from symlake.llm import bytespans, decontam, langid, minhash, mixing, phrases, tokens, toxicity, vectors, warc
 
-_MODULES = (toxicity, mixing, minhash, tokens, langid, decontam, warc, vectors)
+_MODULES = (toxicity, mixing, minhash, tokens, langid, decontam, warc, phrases, bytespans, vectors)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
