@@ -134,9 +134,12 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHA
     kept = docs.columns
     cell = F.shiftright(row_hash(docs["doc_id"]), 32 - 2 * BITS)
     out = docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts["__source"]))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(_passes(cuts, cell), F.lit(1)))).cast("int")).where(
-        F.col("__copy") <= _passes(cuts, cell)
-    ).select(*[docs[c] for c in kept])
+    return (
+        out.withColumn("__passes", _passes(cuts, cell))
+        .where("__passes > 0")
+        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__passes"))))
+        .select(*[docs[c] for c in kept])
+    )
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
