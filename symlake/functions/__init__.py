@@ -1 +1,48 @@
+"""Column expressions that several operators share; all stay in the JVM."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def match_tier(name: Column, query: str) -> Column:
+    """0 exact, 1 exact but for case, 2 prefix, 3 capitals, 4 substring; null: no match."""
+    low, q = F.lower(name), query.lower()
+    capitals = F.regexp_replace(name, "[^A-Z0-9]", "")
+    return (
+        F.when(name == query, 0)
+        .when(low == q, 1)
+        .when(low.startswith(q), 2)
+        .when((F.length(capitals) > 1) & capitals.startswith(query), 3)
+        .when(low.contains(q), 4)
+    )
+
+
+def severity_rank(severity: Column) -> Column:
+    """Error 3, Warning 2, Info 1, everything else 0."""
+    s = F.lower(severity)
+    return F.when(s == "error", 3).when(s == "warning", 2).when(s == "info", 1).otherwise(0)
+
+
+def generated_path(path: Column) -> Column:
+    """Build output, with either kind of separator."""
+    p = F.concat(F.lit("/"), F.replace(F.lower(path), F.lit("\\"), F.lit("/")))
+    return p.contains("/obj/") | p.contains("/bin/")
+
+
+def file_stem(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/\\]*?)(\.[^./\\]*)?$", 1)
+
+
+def type_keys(display: Column, metadata: Column) -> Column:
+    """The keys a type is found by: its display form and, if another, its metadata form."""
+    return F.array_distinct(F.array_compact(F.array(display, metadata)))
+
+
+def top_per(df, keys: list[str], order: list[Column], n: int):
+    """The first n rows of each key in a total order."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")

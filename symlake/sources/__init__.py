@@ -1 +1,60 @@
+"""Sources: source files, project files and fact tables."""
 
+from __future__ import annotations
+
+import re
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PROJECT = "file_path STRING, package_refs ARRAY<STRUCT<name: STRING, version: STRING>>, project_refs ARRAY<STRING>, error STRING"
+
+
+def read_documents(spark: SparkSession, path: str, glob: str = "*.cs") -> DataFrame:
+    """doc_id, file_path, text, mtime of all source files below path."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
+
+
+def changed_documents(current: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id of known documents whose file is newer; new and missing files wait for a reload."""
+    seen = known.select("doc_id", F.col("mtime").alias("__seen"))
+    return current.join(seen, "doc_id").where(F.col("mtime") > F.col("__seen")).select("doc_id")
+
+
+def parse_project(xml: str) -> tuple[list[tuple[str, str | None]], list[str], str | None]:
+    """Package references, project references and the error of a project file that can't be parsed."""
+    try:
+        root = ET.fromstring(xml.lstrip("﻿"))
+    except ET.ParseError as e:
+        return [], [], str(e)
+    name = lambda e: e.tag.rpartition("}")[2]
+    packages, projects = [], []
+    for e in root.iter():
+        include = (e.get("Include") or "").strip()
+        if include and name(e) == "PackageReference":
+            version = e.get("Version") or next((c.text for c in e if name(c) == "Version"), None)
+            packages.append((include, version))
+        elif include and name(e) == "ProjectReference":
+            projects.append(include)
+    return packages, projects, None
+
+
+def read_projects(spark: SparkSession, path: str) -> DataFrame:
+    """One row per project file below path; a bad file has an error and no references."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(f, *parse_project(x)) for f, x in zip(p["file_path"], p["text"], strict=True)]
+            yield pd.DataFrame([(f, [{"name": n, "version": v} for n, v in a], b, e) for f, a, b, e in rows], columns=["file_path", "package_refs", "project_refs", "error"])
+
+    return read_documents(spark, path, "*.csproj").select("file_path", "text").mapInPandas(work, PROJECT)
+
+
+def solution_projects(text: str) -> list[str]:
+    """Project paths of a solution file, in order, of either format."""
+    found = re.findall(r'^Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+\.csproj)"', text, re.M) or re.findall(r'<Project\s+[^>]*Path="([^"]+\.csproj)"', text)
+    return [p.replace("\\", "/") for p in found]

@@ -1 +1,24 @@
+"""A change feed: source files as a stream that keeps an overlay table up to date."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def change_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """New fact files (Parquet) below path as a stream."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def keep_fresh(feed: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """Hand each batch's newest row of a symbol to apply, then wait for the next files."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        newest = df.groupBy("symbol_id").agg(F.max_by(F.struct(*df.columns), "mtime").alias("x")).select("x.*")
+        apply(newest)
+
+    return feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
