@@ -5,9 +5,10 @@ A byte is removed if a string of 50 bytes that covers it also starts in a docume
 1. Recurring anchors: every 50-byte window has an anchor, its smallest 16-byte gram (see ``anchors``); anchor
    hashes are counted over the corpus. Only windows whose anchor's gram occurs twice can repeat.
 2. Segments: neighbouring windows with one recurring anchor form a segment of at most 84 bytes. Equal strings
-   have equal anchors, so segments dealt by anchor hash meet all their matches in one shard. A shard puts its
-   distinct segments, with separators, into a text on disk and sorts its suffixes (``suffixes``); suffixes
-   that share 50 bytes are one string, whose smallest document is the least of its segments'.
+   have equal anchors, so a segment's matches are all among its anchor's. An anchor whose segments all have
+   one content, by a 128-bit hash, needs no sorting. The others' segments are dealt by anchor hash; a shard
+   puts its distinct segments, with separators, into a text on disk and sorts its suffixes (``suffixes``);
+   suffixes that share 50 bytes are one string, whose smallest document is the least of its segments'.
 3. Removal: documents are streamed again; each segment finds, by a 128-bit hash, the ranges of starts whose
    string also begins in another document, and those with a smaller document are removed.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.anchors import anchor_of, runs
+from symlake.llm.anchors import anchor_of, places, runs
 from symlake.llm.common import BYTE_VALUE, U64, drop_dir, free_shuffles, gram_hashes, mix, order_id, raw, read, read_shard, shared_dir, span_hashes, text_chunks, write_shards
 from symlake.llm.suffixes import groups, work_folder
 
@@ -57,7 +58,7 @@ class Bytes:
 
     def segments(self, files: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last window of the segments."""
-        place = np.unique(self.anchor[self.valid])
+        place = places(self.anchor, self.valid)
         hit = np.zeros(len(self.grams) + 1, bool)
         for uri in files:
             known = _held(uri, _anchors)
@@ -70,6 +71,19 @@ class Bytes:
         return tuple(span_hashes(v[self.data], lo, hi + self.window - 1).view(np.int64) for v in (BYTE_VALUE, _SECOND))
 
 
+    def distinct(self, files: list[str], docs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the distinct segments: index, first and stop window, least and greatest document, hashes."""
+        lo, hi = self.segments(files)
+        if not len(lo):
+            return (np.zeros(0, np.int64),) * 7
+        d1, d2 = self.digests(lo, hi)
+        doc = docs[self.row[lo]]
+        order = np.lexsort((d2, d1))
+        new = np.flatnonzero(np.concatenate(([True], (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1]))))
+        pick = order[new]
+        return pick, lo[pick], hi[pick], np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new), d1[pick], d2[pick]
+
+
 def _anchors(t: pa.Table) -> np.ndarray:
     return np.sort(t.column("anchor").to_numpy().view(U64))
 
@@ -98,30 +112,40 @@ def recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in text_chunks(batches):
             b = Bytes(data, off, window)
-            g, n = np.unique(b.grams[np.unique(b.anchor[b.valid])], return_counts=True)
+            g, n = np.unique(b.grams[places(b.anchor, b.valid)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
     found = docs.select("text").mapInArrow(count, "anchor long, n long")
     return found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
+def contents(docs: DataFrame, files: list[str], window: int = WINDOW) -> DataFrame:
+    """For each recurring anchor the least and greatest content hash and document, and the starts in a segment."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "d1", "d2", "low", "high", "starts"]
+        for part, data, off in text_chunks(batches):
+            b = Bytes(data, off, window)
+            pick, lo, hi, low, high, d1, d2 = b.distinct(files, order_id(part.column("doc_id")))
+            anchor = b.grams[b.anchor[lo]].view(np.int64) if len(lo) else lo
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, d1, d2, low, high, (hi - lo).astype(np.int64))], names=names)
+
+    found = docs.select("doc_id", "text").mapInArrow(cut, "anchor long, d1 long, d2 long, low long, high long, starts long")
+    both = [f(c).alias(f"{c}_{n}") for c in ("d1", "d2") for n, f in (("min", F.min), ("max", F.max))]
+    return found.groupBy("anchor").agg(*both, F.min("low").alias("low"), F.max("high").alias("high"), F.max("starts").alias("starts"))
+
+
 def segments(docs: DataFrame, files: list[str], window: int = WINDOW) -> DataFrame:
     """anchor, segment and the smallest and largest document of each block's distinct segments."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_chunks(batches):
             b = Bytes(data, off, window)
-            lo, hi = b.segments(files)
-            d1, d2 = b.digests(lo, hi) if len(lo) else (lo, lo)
-            doc = order_id(part.column("doc_id"))[b.row[lo]]
-            order = np.lexsort((d2, d1))
-            new = np.flatnonzero(np.concatenate(([True], (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])))) if len(order) else order
-            pick = order[new]
-            low = np.minimum.reduceat(doc[order], new) if len(new) else doc
-            high = np.maximum.reduceat(doc[order], new) if len(new) else doc
+            _, lo, hi, low, high, _, _ = b.distinct(files, order_id(part.column("doc_id")))
             whole = data.tobytes()
-            seg = [whole[x:y] for x, y in zip(lo[pick].tolist(), (hi[pick] + window - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(b.grams[b.anchor[lo[pick]]].view(np.int64)), pa.array(seg, pa.binary()), pa.array(low), pa.array(high)], names=["anchor", "segment", "low", "high"])
+            seg = [whole[x:y] for x, y in zip(lo.tolist(), (hi + window - 1).tolist(), strict=True)]
+            anchor = b.grams[b.anchor[lo]].view(np.int64) if len(lo) else lo
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(seg, pa.binary()), pa.array(low), pa.array(high)], names=["anchor", "segment", "low", "high"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, SEGMENT)
 
@@ -229,7 +253,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = write_shards(spark, spill(recurring(docs, window), "anchors"), ["anchor"], f"{folder}/anchors", ANCHORS_PER_FILE)
     drop_dir(spark, f"{folder}/anchors-all")
     free_shuffles(spark)
-    ranges = write_shards(spark, spill(repeated(segments(docs, anchors, window), window), "ranges"), ["d1"], f"{folder}/ranges", RANGES_PER_FILE)
+    found = spill(contents(docs, anchors, window), "contents")
+    free_shuffles(spark)
+    one = (F.col("d1_min") == F.col("d1_max")) & (F.col("d2_min") == F.col("d2_max"))
+    several = write_shards(spark, found.where(~one).select("anchor"), ["anchor"], f"{folder}/several", ANCHORS_PER_FILE)
+    alone = found.where(one & (F.col("low") < F.col("high"))).select(
+        F.col("d1_min").alias("d1"), F.col("d2_min").alias("d2"), F.lit(0).alias("first"), F.col("starts").cast("int").alias("stop"), "low"
+    )
+    sorted_ = spill(repeated(segments(docs, several, window), window), "ranges")
+    free_shuffles(spark)
+    ranges = write_shards(spark, alone.union(sorted_), ["d1"], f"{folder}/ranges", RANGES_PER_FILE)
+    drop_dir(spark, f"{folder}/contents-all")
     drop_dir(spark, f"{folder}/ranges-all")
     free_shuffles(spark)
 

@@ -155,7 +155,7 @@ def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; uint64 in and out."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
+    x *= U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
     x *= U64(0x94D049BB133111EB)
     x ^= x >> U64(31)
@@ -194,12 +194,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k successive values."""
+    """Hashes of all k successive values, as span_hashes gives them."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    at = np.arange(n)
-    return span_hashes(values, at, at + k)
+    up, down = _power(len(values) + 1)
+    c = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * up[:-1], out=c[1:])
+    h = c[k:] - c[:-k]
+    h *= down[:n]
+    h += U64(k * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+    return mix(h)
 
 
 def order_id(col: pa.Array) -> np.ndarray:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.anchors import anchor_of
+from symlake.llm.anchors import anchor_of, places
 from symlake.llm.common import SPACES, U64, drop_dir, free_shuffles, gram_hashes, mix, order_id, read, read_shard, shared_dir, text_chunks, word_hashes, words, write_shards
 
 WINDOW = 20
@@ -79,7 +79,7 @@ def phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in text_chunks(batches, limit=BLOCK_BYTES):
             w = Words(data, off, window)
-            at = np.unique(w.anchor[w.valid])
+            at = places(w.anchor, w.valid)
             keys = _pack(w.symbols, at)
             order, first, n = _grouped(keys)
             k = keys[order][first]
