@@ -22,6 +22,7 @@ each other in order of their texts' hashes; an empty table gives no partitions w
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from symlake.llm.common import fs_of, raw, read, shared_dir, table
 
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 NULL_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, file string, n_docs long, n_tokens long, width int"
 INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -50,31 +51,72 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """ids, as bytes, of texts, word by word through a cache."""
+    """ids, as bytes, of texts: word by word through a cache if the tokenizer drops white space, else whole.
+
+    The cache has two generations, so that frequent words stay when it is full.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.width = self.kind.itemsize
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        setup = json.loads(self.tokenizer.to_str())
+        self.by_word = _drops_blanks(setup)
+        suffix = setup["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        if suffix:
+            self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Words of ASCII letters are single pieces, each of which ends in one id with the end-of-word suffix: they share calls."""
+        plain = [w for w in new if w.isalpha() and self.last.any()]
+        rest = [w for w in new if not (w.isalpha() and self.last.any())]
+        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        for group, ids in zip(groups, self._ids([b" ".join(g).decode() for g in groups]), strict=True):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(group):
+                rest += group
+                continue
+            data, lo = ids.tobytes(), 0
+            for w, hi in zip(group, (ends * self.width).tolist(), strict=True):
+                self.young[w] = data[lo:hi]
+                lo = hi
+        for w, ids in zip(rest, self._ids([w.decode("utf-8", "replace") for w in rest]), strict=True):
+            self.young[w] = ids.tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for text in texts:
-            parts = text.split()
-            known = self.known
-            new = list({w for w in parts if w not in known})
-            if new:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                    new = list(set(parts))
-                kind = np.dtype(f"<u{self.width}")
-                for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, kind).tobytes()
-            out.append(b"".join([known[w] for w in parts]))
-        return out
+        if not self.by_word:
+            return [x.tobytes() for x in self._ids([t.decode("utf-8", "replace") for t in texts])]
+        parts = [t.split() for t in texts]
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        new = []
+        for w in set().union(*parts) - self.young.keys():
+            if w in self.old:
+                self.young[w] = self.old[w]
+            else:
+                new.append(w)
+        self._learn(new)
+        return [b"".join(map(self.young.__getitem__, p)) for p in parts]
+
+
+def _drops_blanks(setup: dict) -> bool:
+    """Whether the text is cut at white space, which is then removed, so that no id depends on both sides of a blank."""
+    pre = setup.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers", [pre])
+    first = steps[0] if steps else {}
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    rest = r"[^\s\p{L}\p{N}]+"
+    cuts = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and rest in pattern and r"\s" not in pattern.replace(rest, "")
+    return bool(cuts) and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in setup.get("added_tokens", []))
 
 
 _encoders: dict[str, WordEncoder] = {}
