@@ -12,11 +12,14 @@ r coordinates; documents that agree in a band meet in its bucket. Nothing emits
 1. the most popular member of each bucket is compared with the others on full sets, and the components of
    the links found are computed;
 2. once more in buckets that still hold several components, with a member outside the first component;
-3. what is still apart is compared in all pairs that lie in different components, are of fitting size
-   and were not compared before, so that no link is lost that would join components.
+3. what is still apart is compared in all pairs that lie in different components, are of fitting size and
+   were not compared before, so that no link is lost that would join components. Members of buckets of more
+   than HOT documents, such as those that share a common passage, meet for that in the buckets of a longer
+   sketch with more rows in a band, which only similar documents share.
 
-Similarity is verified on whole sets of 64-bit shingle hashes. A link of similarity s is missed with
-probability (1 - s^r)^b: 2e-8 at 0.85, 3e-6 at 0.8.
+Similarity is verified on whole sets of 64-bit shingle hashes. A link of similarity s agrees in no band
+with probability (1 - s^r)^b: 2e-13 at 0.85, 7e-10 at 0.8; in the long sketch of step 3 far less often,
+and links must there agree in as many bands as all but 4 in a million do.
 
 Defined cases: with fewer than k words the whole sequence is the one shingle; without words or text the
 set is empty and linked with nothing; rows with a null doc_id are linked with nothing, have a null
@@ -53,8 +56,12 @@ from symlake.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 80  # in hundredths
-BANDS = 24
+BANDS = 40
 ROWS = 4
+#: Buckets above HOT members are split by a sketch of FINE_BANDS * FINE_ROWS coordinates.
+HOT = 32
+FINE_BANDS = 256
+FINE_ROWS = 8
 _SEEDS = mix(np.arange(1, 4097, dtype=U64) * U64(0xA24BAED4963EE407))
 
 
@@ -114,6 +121,12 @@ def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, c1 long, c2 long, bands array<long>")
 
 
+def least_bands(similarity: int, bands: int, rows: int) -> int:
+    """Bands in which all but a vanishing share (4.5 standard deviations) of links agree."""
+    p = (similarity / 100) ** rows
+    return max(1, math.floor(bands * p - 4.5 * math.sqrt(bands * p * (1 - p))))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataFrame:
     """Of pairs (a, b) those whose sets have 100 * intersection >= similarity * union."""
     ids = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
@@ -151,8 +164,9 @@ def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, r
     reps = sk.where("doc_id IS NOT NULL AND n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
     reps = table(spark, reps, f"{folder}/classes")
     one = sk.where("n > 0").select(F.col("c1").alias("s1"), F.col("c2").alias("s2"), F.col("doc_id").alias("node"), "bands")
-    member = reps.join(one, (reps["c1"] == F.col("s1")) & (reps["c2"] == F.col("s2")) & (reps["node"] == one["node"])).select(reps["node"], "n", F.explode("bands").alias("key"))
-    member = table(spark, member, f"{folder}/bands")
+    signed = reps.join(one, (reps["c1"] == F.col("s1")) & (reps["c2"] == F.col("s2")) & (reps["node"] == one["node"])).select(reps["node"], "n", "bands")
+    signed = table(spark, signed.dropDuplicates(["node"]), f"{folder}/signed")
+    member = signed.select("node", "n", F.explode("bands").alias("key"))
     full = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     multi = table(spark, member.join(full, "key").distinct(), f"{folder}/buckets")
     popular = multi.groupBy("node").agg(F.sum("m").alias("pop"))
@@ -172,9 +186,19 @@ def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, r
         else:
             here = here.withColumn("comp", F.col("node"))
         if step == "all":
-            mate = here.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-            pairs = here.join(mate, "key").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & size_ok(F.col("n"), F.col("bn")))
-            pairs = pairs.select(F.col("node").alias("a"), "b")
+            crowded = here.where(F.col("m") > HOT).select("node").distinct()
+            again = docs.join(crowded, F.col("doc_id") == F.col("node"), "left_semi")
+            fine = table(spark, sketches(again, k, FINE_BANDS, FINE_ROWS).select("doc_id", F.explode("bands").alias("key")).distinct(), f"{folder}/fine")
+            place = here.select("node", "n", "comp").distinct()
+            fine = fine.join(place, F.col("doc_id") == F.col("node")).select("key", "node", "n", "comp")
+            small = here.where(F.col("m") <= HOT).select("key", "node", "n", "comp")
+
+            def apart_pairs(members: DataFrame, least: int) -> DataFrame:
+                mate = members.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
+                both = members.join(mate, "key").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & size_ok(F.col("n"), F.col("bn")))
+                return both.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("a", "b")
+
+            pairs = apart_pairs(small, 1).union(apart_pairs(fine, least_bands(similarity, FINE_BANDS, FINE_ROWS)))
         else:
             lead = here if group is None else here.where("comp != c_lo")
             lead = lead.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), F.struct("pop", "node")).alias("x")).select("key", F.col("x.node").alias("a"), F.col("x.n").alias("an"), F.col("x.comp").alias("ac"))
