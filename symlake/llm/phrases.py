@@ -5,7 +5,9 @@ document with a smaller id or further up in the same one. Three passes stream ov
 
 1. Recurring phrases: each window's anchor phrase (6 words, see ``anchors``) is counted over the corpus;
    those that occur twice or more are dealt into files of bounded size, and every worker compiles a file
-   into an Aho-Corasick automaton over word symbols.
+   into an Aho-Corasick automaton. A word is one letter there, 8 bits of its hash, so that no node has more
+   than 256 children (they are searched one by one); a phrase that is located by a chance agreement of
+   its 48 bits only makes a window more to be counted in the next pass.
 2. Recurring windows: the automata locate every occurrence of the phrases in all documents; the windows
    around them are counted by a 128-bit hash of their words, with the smallest document that has them.
    What occurs twice or more is a confirmed passage, again dealt into files.
@@ -50,19 +52,20 @@ class Words:
         self.data, self.off, self.window = data, off, window
         self.starts, self.ends, self.row = words(data, off, SPACES)
         self.h = word_hashes(data, self.starts, self.ends)
-        self.symbols = (self.h & U64(0x7FFFFFFF)).astype(np.int64)
+        self.symbols = (self.h & U64(0xFF)).astype(np.uint8)
         n = len(self.h) - window + 1
         self.valid = self.row[:n] == self.row[window - 1 :] if n > 0 else np.zeros(0, bool)
-        self.anchor = anchor_of(gram_hashes(self.h, PHRASE), window - PHRASE + 1)
+        self.grams = gram_hashes(self.h, PHRASE)
+        self.anchor = anchor_of(self.grams, window - PHRASE + 1)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits for each window."""
         return gram_hashes(self.h, self.window), gram_hashes(mix(self.h ^ U64(0x5851F42D4C957F2D)), self.window)
 
 
-def _pack(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-    s = symbols[at[:, None] + np.arange(PHRASE)]
-    return (s[:, 0::2] << 32) | s[:, 1::2]
+def _letters(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The PHRASE letters from each place on, in one number; the first is the lowest byte."""
+    return (symbols[at[:, None] + np.arange(PHRASE)].astype(np.int64) << (8 * np.arange(PHRASE))).sum(1)
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,26 +77,25 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """s0, s1, s2 (symbols, two in each) of the anchor phrases that occur at two places or more."""
+    """letters of the anchor phrases that occur at two places or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in text_chunks(batches, limit=BLOCK_BYTES):
             w = Words(data, off, window)
             at = places(w.anchor, w.valid)
-            keys = _pack(w.symbols, at)
-            order, first, n = _grouped(keys)
-            k = keys[order][first]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(k[:, i])) for i in range(3)), pa.array(n.astype(np.int64))], names=["s0", "s1", "s2", "n"])
+            gram, first, n = np.unique(w.grams[at], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(_letters(w.symbols, at[first])), pa.array(n)], names=["gram", "letters", "n"])
 
-    found = docs.select("text").mapInArrow(count, "s0 long, s1 long, s2 long, n long")
-    return found.groupBy("s0", "s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s0", "s1", "s2")
+    found = docs.select("text").mapInArrow(count, "gram long, letters long, n long")
+    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("letters").alias("letters")).where("n > 1").select("letters")
 
 
 def automaton(t: pa.Table) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    s = np.stack([t.column(c).to_numpy() for c in ("s0", "s1", "s2")], 1)
-    for key in np.stack((s >> 32, s & 0xFFFFFFFF), 2).reshape(len(s), PHRASE).tolist():
-        a.add_word(tuple(key))
+    a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    s = t.column("letters").to_numpy()
+    text = (s[:, None] >> (8 * np.arange(PHRASE)) & 0xFF).astype(np.uint8).tobytes().decode("latin-1")
+    for i in range(0, len(text), PHRASE):
+        a.add_word(text[i : i + PHRASE])
     if len(s):
         a.make_automaton()
     return a
@@ -134,7 +136,7 @@ def _held(uri: str, make: Callable[[pa.Table], object]) -> object:
 def located(w: Words, files: list[str]) -> np.ndarray:
     """The windows whose anchor phrase the automata locate."""
     hit = np.zeros(len(w.h), bool)
-    stream = tuple(w.symbols.tolist())
+    stream = w.symbols.tobytes().decode("latin-1")
     for uri in files:
         a = _held(uri, automaton)
         if len(a) and stream:
@@ -185,7 +187,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_dir(spark, "phrases")
     spill = lambda df, name: (df.write.parquet(f"{folder}/{name}-all"), spark.read.schema(df.schema).parquet(f"{folder}/{name}-all"))[1]
-    files = write_shards(spark, spill(phrases(docs, window), "phrases"), ["s0", "s1", "s2"], f"{folder}/phrases", PHRASES_PER_FILE)
+    files = write_shards(spark, spill(phrases(docs, window), "phrases"), ["letters"], f"{folder}/phrases", PHRASES_PER_FILE)
     drop_dir(spark, f"{folder}/phrases-all")
     free_shuffles(spark)
     windows = write_shards(spark, spill(passages(docs, files, window), "windows"), ["w1", "w2"], f"{folder}/windows", WINDOWS_PER_FILE)
