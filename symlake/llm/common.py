@@ -67,12 +67,14 @@ def fs_of(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_shards(spark: SparkSession, df: DataFrame, key: list[str], uri: str, rows_per_shard: int) -> list[str]:
-    """Write df as Parquet files of about rows_per_shard rows each, dealt by key; return their URIs."""
+def write_shards(spark: SparkSession, df: DataFrame, key: list[str], uri: str, rows_per_shard: int, ordered: bool = False) -> list[str]:
+    """Write df as Parquet files of about rows_per_shard rows each, dealt by key (ordered: sorted by it); return their URIs."""
     n = df.count()
     if not n:
         return []
     out = df.repartition(max(1, -(-n // rows_per_shard)), *key)
+    if ordered:
+        out = out.sortWithinPartitions(*key)
     out.write.mode("overwrite").parquet(uri)
     return sorted(spark.read.schema(df.schema).parquet(uri).inputFiles())
 

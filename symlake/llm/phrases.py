@@ -4,19 +4,20 @@ A window is 20 consecutive words. A word is removed if a window that covers it a
 document with a smaller id or further up in the same one. Three passes stream over the documents:
 
 1. Recurring phrases: each window's anchor phrase (6 words, see ``anchors``) is counted over the corpus;
-   those that occur twice or more are dealt into files of bounded size, and every worker compiles a file
-   into an Aho-Corasick automaton. A word is one letter there, 8 bits of its hash, so that no node has more
+   those that occur twice or more are dealt into sorted files of bounded size. For each block of text a
+   worker takes from them the phrases that are among the block's own anchors, and compiles these into
+   the block's Aho-Corasick automaton, which thus never holds more than a block has places. A word is one letter there, 8 bits of its hash, so that no node has more
    than 256 children (they are searched one by one); a phrase that is located by a chance agreement of
    its 48 bits only makes a window more to be counted in the next pass.
-2. Recurring windows: the automata locate every occurrence of the phrases in all documents; the windows
+2. Recurring windows: the automata run over all blocks and locate every occurrence of the phrases in all documents; the windows
    around them are counted by a 128-bit hash of their words, with the smallest document that has them.
    What occurs twice or more is a confirmed passage, again dealt into files.
 3. Removal: the automata locate the phrases once more, windows found among the confirmed ones and not
    first are marked, and the words that stay are joined by one blank.
 
 Counts are combined in each task before they are shuffled, so a passage that very many documents share
-travels once per block of text. Documents themselves are never shuffled. An automaton holds at most
-PHRASES_PER_FILE phrases; if there are more files than the cache holds, each is compiled once per block.
+travels once per block of text. Documents themselves are never shuffled. If there are more files than the
+cache holds, each is read once per block.
 
 Defined cases: null text has no words; documents with fewer words than a window stay as they are; rows
 with a null id come last in the order of documents; rows that share an id are one document of which no row
@@ -38,11 +39,11 @@ from symlake.llm.common import SPACES, U64, drop_dir, free_shuffles, gram_hashes
 
 WINDOW = 20
 PHRASE = 6
-PHRASES_PER_FILE = 250_000
+PHRASES_PER_FILE = 2_000_000
 WINDOWS_PER_FILE = 2_000_000
-#: Bytes of text for which each automaton is taken up once.
+#: Bytes of text (or one document) that share an automaton.
 BLOCK_BYTES = 2 << 20
-_KEPT = 2  # compiled files in a worker
+_KEPT = 2  # files of a kind in a worker
 
 
 class Words:
@@ -90,9 +91,9 @@ def phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("letters").alias("letters")).where("n > 1").select("letters")
 
 
-def automaton(t: pa.Table) -> ahocorasick.Automaton:
+def automaton(s: np.ndarray) -> ahocorasick.Automaton:
+    """Of phrases, each given by its letters in one number."""
     a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    s = t.column("letters").to_numpy()
     text = (s[:, None] >> (8 * np.arange(PHRASE)) & 0xFF).astype(np.uint8).tobytes().decode("latin-1")
     for i in range(0, len(text), PHRASE):
         a.add_word(text[i : i + PHRASE])
@@ -101,13 +102,16 @@ def automaton(t: pa.Table) -> ahocorasick.Automaton:
     return a
 
 
+def recurring(t: pa.Table) -> np.ndarray:
+    """The letters of a file's phrases, sorted."""
+    return t.column("letters").to_numpy()
+
+
 class Confirmed:
-    """Recurring windows: sorted hashes and the smallest document of each."""
+    """Recurring windows: hashes, sorted by the first, and the smallest document of each."""
 
     def __init__(self, t: pa.Table):
-        w1 = t.column("w1").to_numpy().view(U64)
-        order = np.argsort(w1, kind="stable")
-        self.w1, self.w2, self.doc = w1[order], t.column("w2").to_numpy().view(U64)[order], t.column("doc").to_numpy()[order]
+        self.w1, self.w2, self.doc = (t.column(c).to_numpy() for c in ("w1", "w2", "doc"))
 
     def find(self, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each window is here, and its smallest document."""
@@ -135,14 +139,18 @@ def _held(uri: str, make: Callable[[pa.Table], object]) -> object:
 
 def located(w: Words, files: list[str]) -> np.ndarray:
     """The windows whose anchor phrase the automata locate."""
+    mine = np.unique(_letters(w.symbols, places(w.anchor, w.valid)))
+    here = np.zeros(len(mine), bool)
+    for uri in files if len(mine) else ():
+        known = _held(uri, recurring)
+        lo = np.searchsorted(known, mine)
+        here |= np.searchsorted(known, mine, "right") > lo
+    if not here.any():
+        return np.zeros(0, np.int64)
+    ends = np.fromiter((end for end, _ in automaton(mine[here]).iter(w.symbols.tobytes().decode("latin-1"))), np.int64)
     hit = np.zeros(len(w.h), bool)
-    stream = w.symbols.tobytes().decode("latin-1")
-    for uri in files:
-        a = _held(uri, automaton)
-        if len(a) and stream:
-            ends = np.fromiter((end for end, _ in a.iter(stream)), np.int64)
-            hit[ends - PHRASE + 1] = True
-    return np.flatnonzero(w.valid & hit[w.anchor]) if len(w.anchor) else np.zeros(0, np.int64)
+    hit[ends - PHRASE + 1] = True
+    return np.flatnonzero(w.valid & hit[w.anchor])
 
 
 def passages(docs: DataFrame, files: list[str], window: int = WINDOW) -> DataFrame:
@@ -167,7 +175,7 @@ def covered(w: Words, docs: np.ndarray, files: list[str], windows: list[str]) ->
     at = located(w, files)
     delta = np.zeros(len(w.h) + 1, np.int64)
     if len(at):
-        w1, w2 = (x[at] for x in w.hashes())
+        w1, w2 = (x[at].view(np.int64) for x in w.hashes())
         row = w.row[at]
         mine = docs[row]
         gone = np.zeros(len(at), bool)
@@ -187,10 +195,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_dir(spark, "phrases")
     spill = lambda df, name: (df.write.parquet(f"{folder}/{name}-all"), spark.read.schema(df.schema).parquet(f"{folder}/{name}-all"))[1]
-    files = write_shards(spark, spill(phrases(docs, window), "phrases"), ["letters"], f"{folder}/phrases", PHRASES_PER_FILE)
+    files = write_shards(spark, spill(phrases(docs, window), "phrases"), ["letters"], f"{folder}/phrases", PHRASES_PER_FILE, ordered=True)
     drop_dir(spark, f"{folder}/phrases-all")
     free_shuffles(spark)
-    windows = write_shards(spark, spill(passages(docs, files, window), "windows"), ["w1", "w2"], f"{folder}/windows", WINDOWS_PER_FILE)
+    windows = write_shards(spark, spill(passages(docs, files, window), "windows"), ["w1", "w2"], f"{folder}/windows", WINDOWS_PER_FILE, ordered=True)
     drop_dir(spark, f"{folder}/windows-all")
     free_shuffles(spark)
 
