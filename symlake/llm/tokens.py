@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,33 +70,40 @@ class WordEncoder:
         setup = json.loads(self.tokenizer.to_str())
         self.by_word = _drops_blanks(setup)
         suffix = setup["model"].get("end_of_word_suffix")
+        self.code = "H" if self.width == 2 else "I"
         self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         if suffix:
             self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[array]:
+        return [array(self.code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _bytes(self, ids: array) -> bytes:
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
         """Words of ASCII letters are single pieces, each of which ends in one id with the end-of-word suffix: they share calls."""
-        plain = [w for w in new if w.isalpha() and self.last.any()]
-        rest = [w for w in new if not (w.isalpha() and self.last.any())]
+        shared = bool(self.last.any())
+        plain = [w for w in new if w.isalpha()] if shared else []
+        rest = [w for w in new if not w.isalpha()] if shared else new
         groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         for group, ids in zip(groups, self._ids([b" ".join(g).decode() for g in groups]), strict=True):
-            ends = np.flatnonzero(self.last[ids]) + 1
+            ends = np.flatnonzero(self.last[np.frombuffer(ids, ids.typecode)]) + 1
             if len(ends) != len(group):
                 rest += group
                 continue
-            data, lo = ids.tobytes(), 0
+            data, lo = self._bytes(ids), 0
             for w, hi in zip(group, (ends * self.width).tolist(), strict=True):
                 self.young[w] = data[lo:hi]
                 lo = hi
         for w, ids in zip(rest, self._ids([w.decode("utf-8", "replace") for w in rest]), strict=True):
-            self.young[w] = ids.tobytes()
+            self.young[w] = self._bytes(ids)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
-            return [x.tobytes() for x in self._ids([t.decode("utf-8", "replace") for t in texts])]
+            return [self._bytes(x) for x in self._ids([t.decode("utf-8", "replace") for t in texts])]
         parts = [t.split() for t in texts]
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
