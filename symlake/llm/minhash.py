@@ -14,12 +14,13 @@ r coordinates; documents that agree in a band meet in its bucket. Nothing emits
 2. once more in buckets that still hold several components, with a member outside the first component;
 3. what is still apart is compared in all pairs that lie in different components, are of fitting size and
    were not compared before, so that no link is lost that would join components. Members of buckets of more
-   than HOT documents, such as those that share a common passage, meet for that in the buckets of a longer
-   sketch with more rows in a band, which only similar documents share.
+   than HOT documents, such as those that share a common passage, meet for that by an exact way: the
+   shingles are ordered by how often they occur, rarest first, and linked sets have their first common
+   shingle so early in both that enough are left for the intersection. The order takes its counts from
+   2^SLOTS sums of fixed size; any order that is the same everywhere is exact, a good one makes few pairs.
 
 Similarity is verified on whole sets of 64-bit shingle hashes. A link of similarity s agrees in no band
-with probability (1 - s^r)^b: 2e-13 at 0.85, 7e-10 at 0.8; in the long sketch of step 3 far less often,
-and links must there agree in as many bands as all but 4 in a million do.
+with probability (1 - s^r)^b: 2e-13 at 0.85, 7e-10 at 0.8.
 
 Defined cases: with fewer than k words the whole sequence is the one shingle; without words or text the
 set is empty and linked with nothing; rows with a null doc_id are linked with nothing, have a null
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake.llm.common import (
@@ -58,10 +59,10 @@ SHINGLE = 5
 SIMILARITY = 80  # in hundredths
 BANDS = 40
 ROWS = 4
-#: Buckets above HOT members are split by a sketch of FINE_BANDS * FINE_ROWS coordinates.
+#: Members of buckets above HOT meet by their rarest shingles.
 HOT = 32
-FINE_BANDS = 256
-FINE_ROWS = 8
+#: Bits of the counts that tell rare shingles from frequent ones.
+SLOTS = 20
 _SEEDS = mix(np.arange(1, 4097, dtype=U64) * U64(0xA24BAED4963EE407))
 
 
@@ -121,10 +122,40 @@ def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, c1 long, c2 long, bands array<long>")
 
 
-def least_bands(similarity: int, bands: int, rows: int) -> int:
-    """Bands in which all but a vanishing share (4.5 standard deviations) of links agree."""
-    p = (similarity / 100) ** rows
-    return max(1, math.floor(bands * p - 4.5 * math.sqrt(bands * p * (1 - p))))
+def slot_counts(docs: DataFrame, k: int) -> np.ndarray:
+    """How many shingles of docs (in each row: distinct ones) fall in each of 2^SLOTS slots, as uint32 (at most its largest)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SLOTS, np.int64)
+        for _, data, off in text_chunks(batches):
+            n += np.bincount((np.concatenate(shingle_sets(data, off, k)) >> U64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
+        slot = np.flatnonzero(n)
+        for lo in range(0, len(slot), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(slot[lo : lo + (1 << 16)]), pa.array(n[slot[lo : lo + (1 << 16)]])], names=["slot", "n"])
+
+    found = docs.select("text").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOTS, np.uint32)
+    out[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.uint32).max)
+    return out
+
+
+def prefixes(docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """node, n, g, at: of each row the shingles that can be the first common one with a linked set, and their places."""
+    counts = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, k))  # of fixed size
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in text_chunks(batches):
+            out = []
+            for s in shingle_sets(data, off, k):
+                order = np.lexsort((s, counts.value[(s >> U64(64 - SLOTS)).astype(np.int64)]))
+                out.append(s[order[: len(s) - -(-similarity * len(s) // 100) + 1]] if len(s) else s)
+                out[-1] = (out[-1], len(s))
+            m = [len(s) for s, _ in out]
+            ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            cols = [np.repeat(ids, m), np.repeat(np.array([n for _, n in out], np.int64), m), np.concatenate([s for s, _ in out]).view(np.int64), np.concatenate([np.arange(x) for x in m])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "n", "g", "at"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "node long, n long, g long, at long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -188,17 +219,20 @@ def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, r
         if step == "all":
             crowded = here.where(F.col("m") > HOT).select("node").distinct()
             again = docs.join(crowded, F.col("doc_id") == F.col("node"), "left_semi")
-            fine = table(spark, sketches(again, k, FINE_BANDS, FINE_ROWS).select("doc_id", F.explode("bands").alias("key")).distinct(), f"{folder}/fine")
-            place = here.select("node", "n", "comp").distinct()
-            fine = fine.join(place, F.col("doc_id") == F.col("node")).select("key", "node", "n", "comp")
-            small = here.where(F.col("m") <= HOT).select("key", "node", "n", "comp")
-
-            def apart_pairs(members: DataFrame, least: int) -> DataFrame:
-                mate = members.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-                both = members.join(mate, "key").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & size_ok(F.col("n"), F.col("bn")))
-                return both.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("a", "b")
-
-            pairs = apart_pairs(small, 1).union(apart_pairs(fine, least_bands(similarity, FINE_BANDS, FINE_ROWS)))
+            place = here.select("node", "comp").distinct()
+            rare = table(spark, prefixes(again, k, similarity).join(place, "node"), f"{folder}/rare")
+            mixed = rare.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("g")
+            rare = table(spark, rare.join(mixed, "g"), f"{folder}/rare-mixed")
+            small = here.where(F.col("m") <= HOT).select(F.col("key").alias("g"), "node", "n", "comp")
+
+            def apart_pairs(members: DataFrame, fits: Column) -> DataFrame:
+                mate = members.select("g", *[F.col(c).alias(f"b_{c}") for c in members.columns if c != "g"])
+                both = members.join(mate, "g").where((F.col("node") < F.col("b_node")) & (F.col("comp") != F.col("b_comp")) & size_ok(F.col("n"), F.col("b_n")) & fits)
+                return both.select(F.col("node").alias("a"), F.col("b_node").alias("b"))
+
+            # similarity s needs an intersection of s / (1 + s) of both sizes
+            enough = F.least(F.col("n") - F.col("at"), F.col("b_n") - F.col("b_at")) * (100 + similarity) >= (F.col("n") + F.col("b_n")) * similarity
+            pairs = apart_pairs(small, F.lit(True)).union(apart_pairs(rare, enough))
         else:
             lead = here if group is None else here.where("comp != c_lo")
             lead = lead.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), F.struct("pop", "node")).alias("x")).select("key", F.col("x.node").alias("a"), F.col("x.n").alias("an"), F.col("x.comp").alias("ac"))
