@@ -133,12 +133,12 @@ def jaccard_components(corpus, k, similarity):
     for i, text, *_ in corpus:
         w = [x.translate(str.maketrans({c: c.lower() for c in map(chr, range(65, 91))})) for x in split(text)]
         sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
-    comp = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    comp, before = {i: i for i in sets}, None
+    while comp != before:
+        before = dict(comp)
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
     return sets, comp
 
 
@@ -153,6 +153,41 @@ def test_near_duplicates_agree_with_all_pairs(docs, corpus, empty):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({i for i in comp if comp[i] == i})
 
 
+def test_near_duplicates_in_crowded_buckets(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = [x for x in base if rng.random() > (0.0, 0.01, 0.03, 0.05)[i % 4]]
+        for _ in range(i % 6):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(w if i % 5 else [*w, *(f"own{i}-{j}" for j in range(rng.randint(0, 200)))])))
+    _, comp = jaccard_components([(*r, None, None) for r in rows], 3, 85)
+    assert 20 < len(set(comp.values())) < 140
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == comp
+
+
+def test_prefixes_meet_for_every_link(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(base) if rng.random() < 0.03 else x for x in base[: 60 - i % 4])) for i in range(60)]
+    sets, _ = jaccard_components([(*r, None, None) for r in rows], 3, 85)
+    found = minhash.prefixes(spark.createDataFrame([*rows, (90, None), (91, "one")], "doc_id long, text string"), 3, 85).collect()
+    first = {}
+    for r in found:
+        first.setdefault(r["node"], {})[r["g"]] = (r["at"], r["n"])
+    assert 90 not in first and len(first[91]) == 1
+    links = 0
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                links += 1
+                (n, m) = (len(sets[a]), len(sets[b]))
+                assert any(185 * min(n - first[a][g][0], m - first[b][g][0]) >= 85 * (n + m) for g in first[a].keys() & first[b].keys())
+    assert links > 50
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(2)
     s = rng.integers(0, 2**63, 400).astype(np.uint64)
