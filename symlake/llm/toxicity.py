@@ -18,7 +18,8 @@ set for the labels' own frequencies.
 
 Defined cases: null or empty text and text without words: the toxic share of the labels, below 0.5;
 labels that are null or neither 0 nor 1 and rows with a null id are not learned from; without labels of
-both kinds every score is that share (0 without labels); repeated documents each get their row; other
+both kinds every score is that share (0 without labels); repeated documents each get their row, and of
+texts that share an id the least is learned from; other
 columns are ignored (``score``) or kept (``keep_clean``).
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import BYTE_VALUE, LOWER, NOT_ALNUM, U64, gram_hashes, raw, read, text_chunks, word_hashes, words
+from symlake.llm.common import BYTE_VALUE, CHUNK_BYTES, LOWER, NOT_ALNUM, U64, gram_hashes, raw, read, text_chunks, word_hashes, words
 
 WINDOW, STRIDE = 64, 48
 FIT_ROWS = 1500
@@ -66,8 +67,14 @@ class Vocab:
 
 def vocab(data: np.ndarray, off: np.ndarray) -> Vocab:
     data = LOWER[data]
-    starts, ends, row = words(data, off, NOT_ALNUM)
-    h = word_hashes(data, starts, ends)
+    found, lo = [], 0
+    while lo < len(off) - 1:  # blocks of documents, as hashing takes many times the bytes
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK_BYTES, "right")) - 1)
+        block = data[off[lo] : off[hi]]
+        starts, ends, row = words(block, off[lo : hi + 1] - off[lo], NOT_ALNUM)
+        found.append((word_hashes(block, starts, ends), starts + off[lo], ends + off[lo], row + lo))
+        lo = hi
+    h, starts, ends, row = (np.concatenate(x) for x in zip(*found, strict=True))
     word, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     # the distinct words one after the other, each with a blank at both ends
     n = ends[first] - starts[first]
@@ -99,21 +106,26 @@ def associations(v: Vocab, label: np.ndarray) -> dict[int, np.ndarray]:
     pair = np.unique(v.row * (len(v.word) + 1) + v.inverse) if len(v.row) else np.zeros(0, np.int64)
     doc, word = pair // (len(v.word) + 1), pair % (len(v.word) + 1)
     doc, word = doc[used[doc]], word[used[doc]]
+    cuts = np.unique(np.concatenate((np.searchsorted(doc, np.arange(0, len(label), 128)), [len(doc)])))  # documents in blocks, for bounded memory
     for k in (0, *ORDERS):
+        p, n = np.full(1 << _TABLE, 0.5), np.full(1 << _TABLE, 0.5)
         if k:
             g, own = v.grams[k]
             order = np.argsort(own, kind="stable")
             lo = np.searchsorted(own[order], np.arange(len(v.word) + 1))
-            n = np.diff(lo)[word]
-            d = np.repeat(doc, n)
-            at = np.repeat(lo[word], n) + np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
-            s = _slot(g[order][at], _TABLE)
+            count = np.diff(lo)
+            slot = _slot(g[order], _TABLE)
         else:
-            d, s = doc, _slot(v.word[word], _TABLE)
-        both = np.unique(d * (1 << _TABLE) + s)
-        d, s = both >> _TABLE, both & ((1 << _TABLE) - 1)
-        p = np.bincount(s[label[d] == 1], minlength=1 << _TABLE) + 0.5
-        n = np.bincount(s[label[d] == 0], minlength=1 << _TABLE) + 0.5
+            lo, count, slot = np.arange(len(v.word)), np.ones(len(v.word), np.int64), _slot(v.word, _TABLE)
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            d, w = doc[start:end], word[start:end]
+            m = count[w]
+            d = np.repeat(d, m)
+            s = slot[np.repeat(lo[w], m) + np.arange(len(d)) - np.repeat(np.cumsum(m) - m, m)]
+            both = np.unique(d * (1 << _TABLE) + s)
+            d, s = both >> _TABLE, both & ((1 << _TABLE) - 1)
+            p += np.bincount(s[label[d] == 1], minlength=1 << _TABLE)
+            n += np.bincount(s[label[d] == 0], minlength=1 << _TABLE)
         z = (np.log(p / (pos + 1)) - np.log(n / (neg + 1))) / np.sqrt(1 / p + 1 / n)
         out[k] = np.tanh(z / 4).astype(_F)
     return out
@@ -382,8 +394,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, epochs: in
     draw = F.pmod(F.xxhash64(F.col("__id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("__y") == 1, min(1.0, fit_rows / max(n.get(1, 0), 1))).otherwise(min(1.0, fit_rows / max(n.get(0, 0), 1)))
     drawn = known.where(draw <= rate).dropDuplicates(["__id"])  # about 2 * fit_rows rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(drawn), "__id").where("text IS NOT NULL").collect()
-    rows.sort(key=lambda r: (r["__id"], r["text"]))
+    found = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(drawn), "__id").where("text IS NOT NULL")
+    rows = found.groupBy("__id", "__y").agg(F.min("text").alias("text")).collect()  # one text for each id drawn
+    rows.sort(key=lambda r: r["__id"])
     return train([r["text"].encode("utf-8", "surrogatepass") for r in rows], np.array([r["__y"] for r in rows], np.int64), share, epochs)
 
 
