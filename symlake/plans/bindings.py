@@ -177,8 +177,10 @@ def overlay_merge(spark: SparkSession, d: str) -> DataFrame:
     line = _t(spark, d, "lineitem")
     base = line.groupBy(F.col("l_partkey").alias("symbol_id")).agg(F.collect_set("l_suppkey").alias("declaring_docs")).withColumn("origin", F.lit("base"))
     dirty = _t(spark, d, "supplier").where("s_nationkey = 20").select(F.col("s_suppkey").alias("doc_id"))
-    touched = line.join(dirty, F.col("l_suppkey") == F.col("doc_id"), "left_semi").where("l_quantity > 10")
-    fresh = touched.groupBy(F.col("l_partkey").alias("symbol_id")).agg(F.collect_set("l_suppkey").alias("declaring_docs")).withColumn("origin", F.lit("fresh"))
+    again = semantic.reextract(base, dirty).join(dirty.withColumn("edited", F.lit(True)), "doc_id", "left")
+    # the simulated edit takes lines from dirty documents only
+    now = line.join(again, F.col("l_suppkey") == F.col("doc_id")).where(F.col("edited").isNull() | (F.col("l_quantity") > 10))
+    fresh = now.groupBy(F.col("l_partkey").alias("symbol_id")).agg(F.collect_set("l_suppkey").alias("declaring_docs")).withColumn("origin", F.lit("fresh"))
     return semantic.overlay(base, fresh, dirty).select("symbol_id", "origin")
 
 

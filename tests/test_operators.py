@@ -111,3 +111,14 @@ def test_workspace_envelope(spark):
     assert ws.find_derived_types(symbol_id="T:A", format="summary").summary == "0 derived types"
     with pytest.raises(OpError):
         _ = Workspace().symbols
+
+
+def test_overlay_merge_keeps_parts_of_clean_suppliers(spark, tmp_path):
+    from symlake.plans import bindings
+
+    # supplier 1 is dirty; part 10 lies in both, 11 and 12 only in 1, 13 only in 2, 14 in both (above and below the cut)
+    lines = [(10, 1, 5), (10, 2, 5), (11, 1, 5), (12, 1, 20), (13, 2, 5), (14, 1, 20), (14, 2, 5)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 20), (2, 3)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(map(tuple, bindings.overlay_merge(spark, str(tmp_path)).collect()))
+    assert got == [(10, "fresh"), (12, "fresh"), (13, "base"), (14, "fresh")]
