@@ -8,7 +8,8 @@ A byte is removed if a string of 50 bytes that covers it also starts in a docume
    have equal anchors, so a segment's matches are all among its anchor's. An anchor whose segments all have
    one content, by a 128-bit hash, needs no sorting. The others' segments are dealt by anchor hash; a shard
    puts its distinct segments, with separators, into a text on disk and sorts its suffixes (``suffixes``);
-   suffixes that share 50 bytes are one string, whose smallest document is the least of its segments'.
+   suffixes that share 50 bytes are one string, whose smallest document is the least of its segments'. All that
+   grows with a shard lies in files, so its memory doesn't; all segments of one anchor still go to one task.
 3. Removal: documents are streamed again; each segment finds, by a 128-bit hash, the ranges of starts whose
    string also begins in another document, and those with a smaller document are removed.
 
@@ -22,8 +23,10 @@ no rows. What stays of a text is binary, since a cut may fall inside a character
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from symlake.llm.anchors import anchor_of, places, runs
 from symlake.llm.common import BYTE_VALUE, U64, drop_dir, free_shuffles, gram_hashes, mix, order_id, raw, read, read_shard, shared_dir, span_hashes, text_chunks, write_shards
-from symlake.llm.suffixes import groups, work_folder
+from symlake.llm.suffixes import BLOCK, array, blocks_of, groups, merged, work_folder
 
 WINDOW = 50
 GRAM = 16
@@ -150,46 +153,86 @@ def segments(docs: DataFrame, files: list[str], window: int = WINDOW) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(cut, SEGMENT)
 
 
-def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.ndarray, window: int, folder: str, **options: int) -> tuple[np.ndarray, ...]:
-    """(d1, d2, first, stop, low) of the starts in segments whose string begins in two documents or more."""
-    d1, d2 = (span_hashes(v[data], off[:-1], off[1:]).view(np.int64) for v in (BYTE_VALUE, _SECOND)) if len(data) < 1 << 22 else _digests(data, off)
-    order = np.lexsort((d2, d1))
-    new = np.flatnonzero(np.concatenate(([True], (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1]))))
-    pick = order[new]
-    low, high = np.minimum.reduceat(low[order], new), np.maximum.reduceat(high[order], new)
-    n = (off[1:] - off[:-1])[pick]
-    start = np.cumsum(n + 1) - (n + 1)
-    t = np.memmap(os.path.join(folder, "text"), np.uint16, "w+", shape=(int((n + 1).sum()),))
-    for a in range(0, len(pick), 1 << 15):  # a separator after each segment
-        z = slice(a, a + (1 << 15))
-        at = np.repeat(off[:-1][pick][z] - (np.cumsum(n[z]) - n[z]), n[z]) + np.arange(n[z].sum())
-        to = np.repeat(start[z] - (np.cumsum(n[z]) - n[z]), n[z]) + np.arange(n[z].sum())
+def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.ndarray, window: int, folder: str, **options: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks of (d1, d2, first, stop, low) of the starts in segments whose string begins in two documents or more.
+
+    Ends of blocks may leave a segment twice in the text or cut a range in two, which changes no covered byte.
+    """
+    d1, d2 = _digests(data, off, folder)
+    pick, least, most = (array(folder, np.int64, len(d1)) for _ in range(3))
+    k = 0
+    for block in merged(((d1[z], np.arange(z.start, z.stop)) for z in blocks_of(len(d1))), folder):
+        at = block[:, 1]
+        at = at[np.lexsort((d2[at], d1[at]))]
+        new = np.flatnonzero(np.concatenate(([True], (d1[at[1:]] != d1[at[:-1]]) | (d2[at[1:]] != d2[at[:-1]]))))
+        z = slice(k, k + len(new))
+        pick[z], least[z], most[z] = at[new], np.minimum.reduceat(low[at], new), np.maximum.reduceat(high[at], new)
+        k = z.stop
+    pick, start, end = pick[:k], array(folder, np.int64, k), 0
+    for z in blocks_of(k):
+        n = off[pick[z] + 1] - off[pick[z]] + 1  # a separator after each segment
+        start[z] = end + np.cumsum(n) - n
+        end += int(n.sum())
+    t = array(folder, np.uint16, end)
+    step = max(1, BLOCK >> 6)
+    for a in range(0, k, step):
+        z = slice(a, a + step)
+        n = off[pick[z] + 1] - off[pick[z]]
+        at = np.repeat(off[pick[z]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        to = np.repeat(start[z] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         t[to] = data[at].astype(np.uint16) + 1
-    seg_parts, off_parts, low_parts = [], [], []
-    for pos, first in groups(t, window, folder, **options):
-        seg = np.searchsorted(start, pos, "right") - 1
-        at = pos - start[seg]
-        ok = at + window <= n[seg]
-        lo = np.minimum.reduceat(np.where(ok, low[seg], np.iinfo(np.int64).max), first)
-        hi = np.maximum.reduceat(np.where(ok, high[seg], np.iinfo(np.int64).min), first)
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pos))))
-        keep = ok & (lo < hi)[of]
-        seg_parts.append(seg[keep])
-        off_parts.append(at[keep])
-        low_parts.append(lo[of][keep])
-    seg, at, lo = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seg_parts, off_parts, low_parts))
-    o = np.lexsort((at, seg))
-    seg, at, lo = seg[o], at[o], lo[o]
-    new = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1) | (lo[1:] != lo[:-1])))) if len(seg) else seg
-    last = np.concatenate((new[1:] - 1, [len(seg) - 1])) if len(seg) else new
-    return d1[pick][seg[new]], d2[pick][seg[new]], at[new].astype(np.int32), (at[last] + 1).astype(np.int32), lo[new]
-
-
-def _digests(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hit, low_at = array(folder, bool, end), array(folder, np.int64, end)
+
+    def mark(pos: np.ndarray, lo: np.ndarray | int) -> None:
+        hit[pos] = True
+        low_at[pos] = lo
+
+    with tempfile.SpooledTemporaryFile(BLOCK * 8, dir=folder) as waiting:  # members of the last set so far
+        lo_open = hi_open = 0
+
+        def close() -> None:
+            waiting.seek(0)
+            while lo_open < hi_open and (found := waiting.read(BLOCK * 8)):
+                mark(np.frombuffer(found, np.int64), lo_open)
+            waiting.seek(0)
+            waiting.truncate()
+
+        for pos, fresh in groups(t, window, folder, **options):
+            seg = np.searchsorted(start, pos, "right") - 1
+            ok = pos - start[seg] + window <= off[pick[seg] + 1] - off[pick[seg]]  # alike in all of a set
+            pos, fresh, seg = pos[ok], fresh[ok], seg[ok]
+            if not len(pos):
+                continue
+            cut = np.flatnonzero(np.concatenate(([True], fresh[1:])))
+            lo, hi = np.minimum.reduceat(least[seg], cut), np.maximum.reduceat(most[seg], cut)
+            if not fresh[0]:
+                lo_open, hi_open = min(lo_open, int(lo[0])), max(hi_open, int(hi[0]))
+                lo[0], hi[0] = lo_open, hi_open
+            if fresh[0] or len(cut) > 1:
+                close()
+            of = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(pos))))
+            keep = (lo < hi)[of[: cut[-1]]]
+            mark(pos[: cut[-1]][keep], lo[of[: cut[-1]]][keep])
+            waiting.write(pos[cut[-1] :].astype(np.int64).tobytes())
+            lo_open, hi_open = int(lo[-1]), int(hi[-1])
+        close()
+    for z in blocks_of(end):
+        pos = np.flatnonzero(hit[z]) + z.start
+        if len(pos):
+            lo, seg = low_at[pos], np.searchsorted(start, pos, "right") - 1
+            at = pos - start[seg]
+            new = np.flatnonzero(np.concatenate(([True], (pos[1:] != pos[:-1] + 1) | (lo[1:] != lo[:-1]))))
+            last = np.append(new[1:] - 1, len(pos) - 1)
+            own = pick[seg[new]]
+            yield d1[own], d2[own], at[new].astype(np.int32), (at[last] + 1).astype(np.int32), lo[new]
+
+
+def _digests(data: np.ndarray, off: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """The segments' hashes, a block of them at a time."""
-    d1, d2 = np.empty(len(off) - 1, np.int64), np.empty(len(off) - 1, np.int64)
-    for a in range(0, len(off) - 1, 1 << 14):
-        z = min(len(off) - 1, a + (1 << 14))
+    d1, d2 = (array(folder, np.int64, len(off) - 1) for _ in range(2))
+    step = max(1, BLOCK >> 6)
+    for a in range(0, len(off) - 1, step):
+        z = min(len(off) - 1, a + step)
         part, at = np.asarray(data[off[a] : off[z]]), off[a : z + 1] - off[a]
         d1[a:z], d2[a:z] = (span_hashes(v[part], at[:-1], at[1:]).view(np.int64) for v in (BYTE_VALUE, _SECOND))
     return d1, d2
@@ -202,22 +245,23 @@ def repeated(found: DataFrame, window: int = WINDOW) -> DataFrame:
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = work_folder()
         try:
-            sizes, lows, highs = [], [], []
-            with open(os.path.join(folder, "segments"), "wb") as f:
+            names, end = ("segments", "ends", "low", "high"), 0
+            with contextlib.ExitStack() as stack:
+                f = {x: stack.enter_context(open(os.path.join(folder, x), "wb")) for x in names}
+                f["ends"].write(np.zeros(1, np.int64).tobytes())
                 for b in batches:
                     data, off = raw(b.column("segment"))
-                    f.write(data.tobytes())
-                    sizes.append(np.diff(off))
-                    lows.append(b.column("low").to_numpy())
-                    highs.append(b.column("high").to_numpy())
-            size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            if not len(size):
+                    f["segments"].write(data.tobytes())
+                    f["ends"].write((end + np.cumsum(np.diff(off), dtype=np.int64)).tobytes())
+                    end += len(data)
+                    for x in ("low", "high"):
+                        f[x].write(b.column(x).to_numpy().tobytes())
+            if not end:
                 return
-            off = np.concatenate(([0], np.cumsum(size)))
-            data = np.memmap(os.path.join(folder, "segments"), np.uint8, "r")
-            out = shard_ranges(data, off, np.concatenate(lows), np.concatenate(highs), window, folder)
-            for a in range(0, len(out[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[a : a + (1 << 16)])) for x in out], names=["d1", "d2", "first", "stop", "low"])
+            data, off, low, high = (np.asarray(np.memmap(os.path.join(folder, x), np.uint8 if x == "segments" else np.int64, "r")) for x in names)
+            for out in shard_ranges(data, off, low, high, window, folder):
+                for a in range(0, len(out[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[a : a + (1 << 16)])) for x in out], names=["d1", "d2", "first", "stop", "low"])
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 

@@ -2,12 +2,16 @@
 
 ``SuffixSorter`` sorts the suffixes of a text that lies in a file. Suffixes are of type S if smaller than
 their successor and else L; the S suffixes right of an L suffix are the seeds. The seeds' order comes from
-naming the substrings between seeds and sorting the names' string, by recursion; all others follow by
+naming the substrings between seeds and sorting the names' string by doubling; all others follow by
 induction: a scan in ascending order passes each suffix's left neighbour, if it is L, on to the end of the
 queue of its first symbol, a scan in descending order does the same for S. The queues are the priority
 queue: its order is (symbol, arrival), so each symbol's entries are first in, first out. Entries are tuples
-(position, common prefix with the entry before); queues keep a bounded number of entries in memory and the
-rest in one file, so memory doesn't grow with the text beyond the seeds of the recursion's last level.
+(position, common prefix with the entry before).
+
+Memory doesn't grow with the text: queues keep a bounded number of entries and the rest in one file; types,
+seeds, names and ranks are worked on in blocks and lie in files if longer than HELD bytes (see ``array``);
+strings of more than BASE names are doubled by an external merge sort. What grows is a buffer of 16 KB for
+each sorted run of MEMORY entries, and a few words for each symbol and spill of the queues.
 
 Common-prefix values, cut off at a limit, travel with the entries: two neighbours that are induced from
 entries x and y share one symbol more than the least value between x and y, which is kept up for every
@@ -28,6 +32,66 @@ BASE = 4 << 20
 #: Entries that all queues of a sorter keep in memory.
 MEMORY = 1 << 20
 BLOCK = 1 << 18
+#: Arrays of more bytes lie in files.
+HELD = 16 << 20
+
+
+def array(folder: str | None, dtype: type, n: int) -> np.ndarray:
+    """n zeros, in memory if few, else in a file that goes with the array."""
+    size = n * np.dtype(dtype).itemsize
+    if size <= HELD:
+        return np.zeros(n, dtype)
+    with tempfile.TemporaryFile(dir=folder) as f:
+        f.truncate(size)
+        return np.asarray(np.memmap(f, dtype, "r+", shape=(n,)))
+
+
+def blocks_of(n: int, first: int = 0) -> Iterator[slice]:
+    return (slice(lo, min(n, lo + BLOCK)) for lo in range(first, n, BLOCK))
+
+
+def merged(pairs: Iterator[tuple[np.ndarray, np.ndarray]], folder: str | None, memory: int = MEMORY) -> Iterator[np.ndarray]:
+    """Blocks of (key, value) in the order of keys: sorted runs in a file, merged by blocks."""
+    with tempfile.TemporaryFile(dir=folder) as f:
+        runs: list[list[int]] = []
+        parts: list[np.ndarray] = []
+        end = 0
+
+        def flush() -> None:
+            nonlocal end
+            run = _join(parts)
+            f.write(run[np.argsort(run[:, 0], kind="stable")].tobytes())
+            runs.append([end, end + len(run)])
+            end += len(run)
+            parts.clear()
+
+        for key, value in pairs:
+            parts.append(np.stack((key, value), 1))
+            if sum(map(len, parts)) >= memory:
+                flush()
+        if parts:
+            flush()
+        size = max(1024, memory // max(1, len(runs)))
+
+        def load(run: list[int]) -> np.ndarray:
+            lo, run[0] = run[0], min(run[1], run[0] + size)
+            f.seek(lo * 16)
+            return np.frombuffer(f.read((run[0] - lo) * 16), np.int64).reshape(-1, 2)
+
+        held = [(load(r), r) for r in runs]
+        while held:
+            top = min(int(b[-1, 0]) for b, _ in held)  # what is still in the file is not less
+            out, rest = [], []
+            for b, r in held:
+                k = int(np.searchsorted(b[:, 0], top, "right"))
+                out.append(b[:k])
+                if k < len(b):
+                    rest.append((b[k:], r))
+                elif r[0] < r[1]:
+                    rest.append((load(r), r))
+            held = rest
+            block = _join(out)
+            yield block[np.argsort(block[:, 0], kind="stable")]
 
 
 class Queues:
@@ -93,15 +157,20 @@ def _join(parts: list[np.ndarray]) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def types_of(t: np.ndarray) -> np.ndarray:
+def types_of(t: np.ndarray, folder: str | None = None) -> np.ndarray:
     """True for S suffixes; the end of the text is smaller than all symbols."""
     n = len(t)
-    out = np.zeros(n, bool)
-    step = np.sign(t[1:].astype(np.int64) - t[:-1])  # > 0: S, < 0: L, 0: as the next
-    at = np.where(step != 0, np.arange(n - 1), n - 1)
-    at = np.minimum.accumulate(at[::-1])[::-1] if n > 1 else at
-    step = np.append(step, -1)
-    out[:-1] = step[at] > 0
+    out = array(folder, bool, n)
+    after = False  # the type of the suffix behind the block
+    for hi in range(n, 0, -BLOCK):
+        lo = max(0, hi - BLOCK)
+        step = np.diff(t[lo : hi + 1].astype(np.int64))  # > 0: S, < 0: L, 0: as the next
+        if hi == n:
+            step = np.append(step, -1)
+        at = np.where(step != 0, np.arange(hi - lo), hi - lo)
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        out[lo:hi] = np.append(step, 1 if after else -1)[at] > 0
+        after = bool(out[lo])
     return out
 
 
@@ -123,6 +192,31 @@ def doubling(s: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+def doubling_in_files(rank: np.ndarray, folder: str | None, memory: int) -> np.ndarray:
+    """The same of a string of names in which no number up to the greatest is left out; overwrites it."""
+    n, k = len(rank), 1
+    order = array(folder, np.int64, n)
+
+    def keyed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for z in blocks_of(n):
+            nxt = np.zeros(z.stop - z.start, np.int64)
+            more = rank[z.start + k : z.stop + k]
+            nxt[: len(more)] = more + 1
+            yield (rank[z] + 1) * (n + 2) + nxt, np.arange(z.start, z.stop)
+
+    while True:
+        at, name, last = 0, -1, -1
+        for block in merged(keyed(), folder, memory):  # reads all ranks before the first block comes
+            key, pos = block[:, 0], block[:, 1]
+            order[at : at + len(pos)] = pos
+            names = name + np.cumsum(np.concatenate(([key[0] != last], key[1:] != key[:-1])))
+            rank[pos] = names
+            at, name, last = at + len(pos), int(names[-1]), int(key[-1])
+        if name == n - 1:
+            return order
+        k *= 2
+
+
 def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Common prefixes of the suffixes a and b, at most limit."""
     out = np.zeros(len(a), np.int64)
@@ -142,10 +236,26 @@ class SuffixSorter:
 
     def __init__(self, t: np.ndarray, limit: int = 0, folder: str | None = None, base: int = BASE, memory: int = MEMORY):
         self.t, self.limit, self.folder, self.base, self.memory = t, limit, folder, base, memory
-        self.s = types_of(t)
-        self.seeds = np.flatnonzero(self.s[1:] & ~self.s[:-1]) + 1
-        self.symbols = np.unique(t).tolist() if len(t) else []
+        self.s = types_of(t, folder)
+        alphabet = np.zeros(0, t.dtype)
+        for z in blocks_of(len(t)):
+            alphabet = np.union1d(alphabet, t[z])
+        self.alphabet, self.symbols = alphabet, alphabet.tolist()
         self.spot = {c: i for i, c in enumerate(self.symbols)}
+        count = np.zeros(len(alphabet), np.int64)
+        for seeds in self._found():
+            count += np.bincount(np.searchsorted(alphabet, t[seeds]), minlength=len(alphabet))
+        self.bounds = np.concatenate(([0], np.cumsum(count)))  # of the seeds of each symbol
+        self.seeds = array(folder, np.int64, int(self.bounds[-1]))
+        at = 0
+        for seeds in self._found():
+            self.seeds[at : at + len(seeds)] = seeds
+            at += len(seeds)
+
+    def _found(self) -> Iterator[np.ndarray]:
+        """The seeds in ascending order of place."""
+        for z in blocks_of(len(self.t), 1):
+            yield np.flatnonzero(self.s[z] & ~self.s[z.start - 1 : z.stop - 1]) + z.start
 
     # --- induction -----------------------------------------------------------------------------
 
@@ -177,7 +287,7 @@ class SuffixSorter:
                 least[k] = int(lcp[last + 1 :].min()) if last + 1 < len(lcp) else self.limit
             queues.put(symbol, left[who], value)
 
-    def _induce(self, seeds: np.ndarray, seed_lcp: np.ndarray) -> Iterator[np.ndarray]:
+    def _induce(self, seeds: np.ndarray) -> Iterator[np.ndarray]:
         """Blocks of (suffix, common prefix with the entry before), in descending order."""
         n, t = len(self.t), self.t
         rising, stored, falling = (Queues(self.folder, self.memory) for _ in range(3))
@@ -188,8 +298,7 @@ class SuffixSorter:
             rising.put(first, np.array([n - 1]), np.zeros(1, np.int64))  # induced by the end of the text
             if self.limit:
                 least[self.spot[first]] = 0
-            bounds = np.searchsorted(t[seeds], self.symbols, "left") if len(seeds) else np.zeros(len(self.symbols), np.int64)
-            bounds = np.append(bounds, len(seeds))
+            bounds = self.bounds
             for i, c in enumerate(self.symbols):
                 last = -1
                 for block in rising.take(c):
@@ -201,10 +310,10 @@ class SuffixSorter:
                     self._pass_on(block, rising, least, False)
                 for lo in range(int(bounds[i]), int(bounds[i + 1]), BLOCK):
                     hi = min(lo + BLOCK, int(bounds[i + 1]))
-                    block = np.stack((seeds[lo:hi], seed_lcp[lo:hi]), 1)
-                    if lo == bounds[i] and self.limit:
-                        block[0, 1] = int(common(t, np.array([last]), block[:1, 0], self.limit)[0])
-                    self._pass_on(block, rising, least, False)
+                    pos = seeds[lo:hi]
+                    lcp = common(t, np.concatenate(([last], pos[:-1])), pos, self.limit)
+                    last = int(pos[-1])
+                    self._pass_on(np.stack((pos, lcp), 1), rising, least, False)
             least = np.full(len(self.symbols), nothing)
             for c in reversed(self.symbols):
                 last, seam = -1, 0
@@ -231,64 +340,71 @@ class SuffixSorter:
 
     # --- seeds ---------------------------------------------------------------------------------
 
+    def _by_symbol(self) -> np.ndarray:
+        """The seeds by their first symbol and, among equal ones, by place."""
+        out, free = array(self.folder, np.int64, len(self.seeds)), self.bounds[:-1].copy()
+        for z in blocks_of(len(self.seeds)):
+            c = np.searchsorted(self.alphabet, self.t[self.seeds[z]])
+            order = np.argsort(c, kind="stable")
+            c, n = c[order], np.bincount(c, minlength=len(free))
+            out[free[c] + np.arange(len(c)) - (np.cumsum(n) - n)[c]] = self.seeds[z][order]
+            free += n
+        return out
+
     def _sorted_seeds(self) -> np.ndarray:
-        t, seeds = self.t, self.seeds
-        if len(seeds) < 2:
+        t, s, seeds = self.t, self.s, self.seeds
+        m = len(seeds)
+        if m < 2:
             return seeds
-        by_symbol = seeds[np.argsort(t[seeds], kind="stable")]
-        is_seed = np.zeros(len(t), bool)
-        is_seed[seeds] = True
         plain = SuffixSorter.__new__(SuffixSorter)
         plain.__dict__ |= self.__dict__ | {"limit": 0}
-        parts = [b[is_seed[b[:, 0]], 0] for b in plain._induce(by_symbol, np.zeros(len(seeds), np.int64))]
-        order = np.concatenate(parts)[::-1]  # by the substrings up to the next seed
-        index = np.searchsorted(seeds, order)
-        length = np.diff(np.append(seeds, len(t)))[index]
-        same = np.zeros(len(order), bool)
-        pair = np.flatnonzero((length[1:] == length[:-1]) & (index[1:] != len(seeds) - 1) & (index[:-1] != len(seeds) - 1)) + 1
-        k = 0
-        while len(pair):  # equal up to and with the next seed's first symbol
-            equal = t[order[pair] + k] == t[order[pair - 1] + k]
-            pair = pair[equal]
-            done = length[pair] == k
-            same[pair[done]] = True
-            pair = pair[~done]
-            k += 1
-        name = np.cumsum(~same) - 1
-        string = np.empty(len(seeds), np.int64)
-        string[index] = name
-        if name[-1] == len(seeds) - 1:
+        order = array(self.folder, np.int64, m)  # by the substrings up to the next seed
+        end = m
+        for b in plain._induce(self._by_symbol()):
+            pos = b[:, 0]
+            pos = pos[(pos > 0) & s[pos] & ~s[np.maximum(pos - 1, 0)]]
+            order[end - len(pos) : end] = pos[::-1]
+            end -= len(pos)
+        string, name = array(self.folder, np.int64, m), -1
+        for z in blocks_of(m):
+            o = order[max(0, z.start - 1) : z.stop]  # with the one before
+            index = np.searchsorted(seeds, o)
+            length = np.where(index < m - 1, seeds[np.minimum(index + 1, m - 1)], len(t)) - o
+            same = np.zeros(len(o), bool)
+            pair = np.flatnonzero((length[1:] == length[:-1]) & (index[1:] != m - 1) & (index[:-1] != m - 1)) + 1
+            k = 0
+            while len(pair):  # equal up to and with the next seed's first symbol
+                equal = t[o[pair] + k] == t[o[pair - 1] + k]
+                pair = pair[equal]
+                done = length[pair] == k
+                same[pair[done]] = True
+                pair = pair[~done]
+                k += 1
+            mine = slice(int(z.start > 0), None)
+            names = name + np.cumsum(~same[mine])
+            string[index[mine]] = names
+            name = int(names[-1])
+        if name == m - 1:
             return order
-        if len(string) <= self.base:
+        if m <= self.base:
             return seeds[doubling(string)]
-        deeper = SuffixSorter(string, 0, self.folder, self.base, self.memory)
-        return seeds[np.concatenate([b[:, 0] for b in deeper.descending()])[::-1]]
+        by_rank = doubling_in_files(string, self.folder, self.memory)
+        for z in blocks_of(m):
+            order[z] = seeds[by_rank[z]]
+        return order
 
     def descending(self) -> Iterator[np.ndarray]:
-        if not len(self.t):
-            return
-        seeds = self._sorted_seeds()
-        lcp = np.zeros(len(seeds), np.int64)
-        if self.limit and len(seeds) > 1:
-            lcp[1:] = common(self.t, seeds[:-1], seeds[1:], self.limit)
-        yield from self._induce(seeds, lcp)
+        if len(self.t):
+            yield from self._induce(self._sorted_seeds())
 
 
 def groups(t: np.ndarray, limit: int, folder: str | None = None, **options: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Suffixes in descending order as (positions, first of each set that shares limit symbols); sets come whole."""
-    tail = np.zeros(0, np.int64)
+    """Blocks of suffixes in descending order as (positions, whether each begins a set that shares limit symbols)."""
     for block in SuffixSorter(t, limit, folder, **options).descending():
-        pos = np.concatenate((tail, block[:, 0]))
-        cut = np.flatnonzero(block[:, 1] < limit) + len(tail)
-        if len(tail) and (not len(cut) or cut[0] != 0):
-            cut = np.concatenate(([0], cut))
-        if len(cut) > 1:
-            yield pos[: cut[-1]], cut[:-1]
-        tail = pos[cut[-1] :]
-    if len(tail):
-        yield tail, np.zeros(1, np.int64)
+        if len(block):
+            yield block[:, 0], block[:, 1] < limit
 
 
 def work_folder() -> str:
-    """A folder of this task's own for the queues; nothing in it outlives the task."""
+    """A folder of this task's own for queues and arrays; nothing in it outlives the task."""
     return tempfile.mkdtemp(prefix="suffixes-", dir=os.environ.get("TMPDIR") or None)

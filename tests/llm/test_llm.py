@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -128,6 +129,74 @@ def test_targets_fill_up_to_their_caps():
     assert got["a"] == 20 and got["z"] == 0 and abs(sum(got.values()) - 240) < 1e-9 and max(got[None] / 100, got["b"] / 200) <= 1
 
 
+def small_blocks(monkeypatch, n):
+    for module in (suffixes, bytespans):
+        monkeypatch.setattr(module, "BLOCK", n, raising=False)
+    monkeypatch.setattr(suffixes, "HELD", n, raising=False)
+
+
+def test_suffixes_in_files(monkeypatch):
+    small_blocks(monkeypatch, 8)
+    rng = np.random.default_rng(2)
+    for n in (*range(1, 40), 300, 1500):
+        t = rng.integers(0, 1 + n % 4, n)
+        b = np.concatenate(list(suffixes.SuffixSorter(t, 5, None, base=2, memory=16).descending()))
+        assert b[::-1, 0].tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+        assert (b[1:, 1] == suffixes.common(t, b[1:, 0], b[:-1, 0], 5)).all()
+
+
+def test_types_and_seeds_lie_in_files(monkeypatch):
+    small_blocks(monkeypatch, 1 << 13)
+    t = np.random.default_rng(6).integers(0, 257, 1 << 20).astype(np.uint16)
+    tracemalloc.start()
+    suffixes.SuffixSorter(t, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < t.nbytes
+
+
+def shard(n):
+    """n segments of one frequent phrase with different continuations, some of them in common; every tenth repeated."""
+    rng = np.random.default_rng(3)
+    tails = rng.integers(97, 123, (max(1, n // 3), 24), np.uint8)
+    rows = np.concatenate((np.tile(np.frombuffer(b"a phrase that is met very often indeed", np.uint8), (n, 1)), tails[rng.integers(0, len(tails), n)], rng.integers(97, 123, (n, 22), np.uint8)), 1)
+    rows = np.concatenate((rows, rows[::10]))
+    low = rng.integers(0, 50, len(rows))
+    return rows.ravel(), np.arange(len(rows) + 1) * rows.shape[1], low, low + rng.integers(0, 2, len(rows))
+
+
+def test_shard_agrees_with_brute_force(monkeypatch, tmp_path):
+    small_blocks(monkeypatch, 64)
+    data, off, low, high = shard(150)
+    seg = [data[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)]
+    of = {}
+    for x, a, z in zip(seg, low.tolist(), high.tolist(), strict=True):
+        for i in range(len(x) - 49):
+            lo, hi = of.get(x[i : i + 50], (99, -1))
+            of[x[i : i + 50]] = (min(lo, a), max(hi, z))
+    want = {(x, i, of[x[i : i + 50]][0]) for x in seg for i in range(len(x) - 49) if of[x[i : i + 50]][0] < of[x[i : i + 50]][1]}
+    d1, d2 = (common.span_hashes(v[data], off[:-1], off[1:]).view(np.int64) for v in (common.BYTE_VALUE, bytespans._SECOND))
+    name = dict(zip(zip(d1.tolist(), d2.tolist(), strict=True), seg, strict=True))
+    got = set()
+    for block in bytespans.shard_ranges(data, off, low, high, 50, str(tmp_path), base=8, memory=64):
+        for a, b, first, stop, lo in zip(*(x.tolist() for x in block), strict=True):
+            got |= {(name[a, b], i, lo) for i in range(first, stop)}
+    assert got == want
+
+
+def test_memory_of_a_shard_does_not_grow_with_it(monkeypatch, tmp_path):
+    small_blocks(monkeypatch, 1 << 13)
+    peaks = []
+    for n in (8000, 24000):
+        data, off, low, high = shard(n)
+        tracemalloc.start()
+        for _ in bytespans.shard_ranges(data, off, low, high, 50, str(tmp_path), base=1 << 12, memory=1 << 15):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def jaccard_components(corpus, k, similarity):
     sets = {}
     for i, text, *_ in corpus:
