@@ -11,7 +11,11 @@ from symlake.functions import file_stem, top_per
 from symlake.operators.graph import closure
 
 # Members and attributes that keep a symbol from being reported as dead.
-DENIED_MEMBERS = ("Dispose", "DisposeAsync", "Main", "ToString", "GetHashCode")
+DENIED_MEMBERS = ("Dispose", "DisposeAsync", "ToString", "Equals", "GetHashCode")
+DENIED_ATTRIBUTES = (
+    "FactAttribute", "TheoryAttribute", "TestAttribute", "TestMethodAttribute", "BenchmarkAttribute", "JsonConstructorAttribute", "OnDeserializedAttribute",
+    "OnDeserializingAttribute", "ModuleInitializerAttribute", "UnmanagedCallersOnlyAttribute", "DllImportAttribute",
+)
 TEST_SUFFIXES = ("tests", "test", "spec", "integrationtests")
 TEST_PACKAGES = ("xunit", "nunit", "mstest")
 
@@ -64,9 +68,19 @@ def dead_code_status(
     include_private: bool = True,
     include_internal: bool = True,
     include_tests: bool = False,
+    symbol_keys: DataFrame | None = None,
 ) -> DataFrame:
-    """symbols with status: the first rule that takes a symbol out, or eligible."""
+    """symbols with status: the first rule that takes a symbol out, or eligible.
+
+    denied takes the place of the member names. Attributes come from symbol_keys and go by their class's own name.
+    """
     s = symbols
+    deny = F.coalesce(F.col("name").isin(list(DENIED_MEMBERS)) if denied is None else denied, F.lit(False))
+    if symbol_keys is not None:
+        by_name = F.regexp_extract("key", r"([^.+]*)$", 1).isin(list(DENIED_ATTRIBUTES))
+        attributed = symbol_keys.where((F.col("index_kind") == "attribute") & by_name).select("symbol_id", F.lit(True).alias("__attributed")).distinct()
+        s = s.join(attributed, "symbol_id", "left")
+        deny = deny | F.coalesce("__attributed", F.lit(False))
     in_test = F.lit(False)
     if test_projects is not None and not include_tests:
         s = s.join(test_projects.select("project_id", F.lit(True).alias("__test")).distinct(), "project_id", "left")
@@ -86,10 +100,10 @@ def dead_code_status(
         .when(in_test, "test")
         .when(access.isin("public", "protected", "protected internal"), "public")
         .when(gated, "gated")
-        .when(F.col("name").isin(list(DENIED_MEMBERS)) if denied is None else denied, "deny")
+        .when(deny, "deny")
         .otherwise("eligible")
     )
-    return s.withColumn("status", status)
+    return s.withColumn("status", status).drop("__attributed")
 
 
 def dead_code_candidates(status: DataFrame, refs: DataFrame, friend: Column, max_results: int | None = None) -> DataFrame:

@@ -122,3 +122,13 @@ def test_overlay_merge_keeps_parts_of_clean_suppliers(spark, tmp_path):
     spark.createDataFrame([(1, 20), (2, 3)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     got = sorted(map(tuple, bindings.overlay_merge(spark, str(tmp_path)).collect()))
     assert got == [(10, "fresh"), (12, "fresh"), (13, "base"), (14, "fresh")]
+
+
+def test_dead_code_denies_the_reference_names_and_attributes(spark):
+    rows = [("a", "Equals"), ("b", "Main"), ("c", "Works"), ("d", "Native"), ("e", "Odd"), ("f", "Plain")]
+    s = spark.createDataFrame([(i, "A.cs", "Private", n) for i, n in rows], "symbol_id string, file_path string, accessibility string, name string")
+    keys = [("attribute", "Xunit.FactAttribute", "c"), ("attribute", "System.Runtime.InteropServices.DllImportAttribute", "d"), ("attribute", "FactAttribute", "c"), ("attribute", "My.NotAFactAttribute", "e"), ("returns", "Xunit.FactAttribute", "f")]
+    status = reports.dead_code_status(s, symbol_keys=spark.createDataFrame(keys, "index_kind string, key string, symbol_id string"))
+    assert status.columns == [*s.columns, "status"]
+    assert {r["symbol_id"]: r["status"] for r in status.collect()} == {"a": "deny", "b": "eligible", "c": "deny", "d": "deny", "e": "eligible", "f": "eligible"}
+    assert reports.dead_code_skipped(status).first()["denylisted"] == 3
