@@ -26,9 +26,9 @@ def severity_rank(severity: Column) -> Column:
 
 
 def generated_path(path: Column) -> Column:
-    """Build output, with either kind of separator."""
+    """Build output, with either kind of separator, and .g.cs files; false without a path."""
     p = F.concat(F.lit("/"), F.replace(F.lower(path), F.lit("\\"), F.lit("/")))
-    return p.contains("/obj/") | p.contains("/bin/")
+    return F.coalesce(p.contains("/obj/") | p.contains("/bin/") | p.endswith(".g.cs"), F.lit(False))
 
 
 def file_stem(path: Column) -> Column:

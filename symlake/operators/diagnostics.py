@@ -31,7 +31,7 @@ def compilation_errors(
     if severity is not None and severity.lower() in _KNOWN:
         d = d.where(F.lower("severity") == severity.lower())
     if exclude_codes:
-        d = d.where(~F.lower("code").isin([c.lower() for c in exclude_codes]))
+        d = d.where(~F.coalesce(F.lower("code").isin([c.lower() for c in exclude_codes]), F.lit(False)))
     d = d.where(severity_rank(F.col("severity")) >= _RANK.get(minimum.lower(), 0))
     return d if include_generated else d.where(~generated_path(F.col("file_path").cast("string")))
 

@@ -132,3 +132,10 @@ def test_dead_code_denies_the_reference_names_and_attributes(spark):
     assert status.columns == [*s.columns, "status"]
     assert {r["symbol_id"]: r["status"] for r in status.collect()} == {"a": "deny", "b": "eligible", "c": "deny", "d": "deny", "e": "eligible", "f": "eligible"}
     assert reports.dead_code_skipped(status).first()["denylisted"] == 3
+
+
+def test_diagnostics_without_code_or_path_stay(spark):
+    rows = [("p", "Error", None, "A.cs"), ("p", "Error", "C1", "A.cs"), ("p", "Error", "C2", None), ("p", "Error", "C3", "Form.G.cs"), ("p", "Error", "C4", "a\\obj\\x.cs")]
+    d = spark.createDataFrame(rows, "project_id string, severity string, code string, file_path string")
+    assert sorted(r["code"] or "" for r in diagnostics.compilation_errors(d, exclude_codes=["c1"]).collect()) == ["", "C2", "C3", "C4"]
+    assert sorted(r["code"] or "" for r in diagnostics.compilation_errors(d, include_generated=False).collect()) == ["", "C1", "C2"]
