@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder (URI) under spark.checkpoint.dir that driver and executors see.
 
-    A folder of this machine is used only where that setting is empty, as in tests.
+    A folder of this machine is used only where that setting is empty and Spark runs on this machine alone.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "symlake-shared")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -85,6 +89,25 @@ def read_shard(uri: str) -> pa.Table:
         return pq.read_table(f)
 
 
+# --- tasks ---------------------------------------------------------------------------------------
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, after which its worker gives the memory that it no longer uses back to the machine."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # glibc
+                trim(0)
+
+    return run
+
+
 # --- Arrow text ----------------------------------------------------------------------------------
 
 
@@ -92,13 +115,14 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column, and len + 1 offsets; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    if not pa.types.is_large_binary(col.type):
-        col = (col.cast(pa.large_string()) if not pa.types.is_binary(col.type) else col).cast(pa.large_binary())
+    wide = pa.types.is_large_binary(col.type) or pa.types.is_large_string(col.type)
+    if not wide and not pa.types.is_binary(col.type) and not pa.types.is_string(col.type):
+        col, wide = col.cast(pa.large_string()), True
     if col.null_count:
-        col = col.fill_null(b"")
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    off = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = col.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[off[0] : off[-1]], off - off[0]

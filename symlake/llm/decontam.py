@@ -35,6 +35,7 @@ from symlake.llm.common import (
     gram_hashes,
     raw,
     read,
+    released,
     read_shard,
     shared_dir,
     text_chunks,
@@ -175,7 +176,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(mark, RESULT)
+    return docs.select("doc_id", "text").mapInArrow(released(mark), RESULT)
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
@@ -186,7 +187,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
         for part, n, hit, _ in scan(batches, files, window):
             yield part.filter(pa.array(~((hit > 0) & (share * hit >= n))))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import BYTE_VALUE, LOWER, U64, gram_hashes, raw, read, text_chunks
+from symlake.llm.common import BYTE_VALUE, LOWER, U64, gram_hashes, raw, read, released, text_chunks
 
 N = 4
 PROBES = 3
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             score = np.where([x == UNKNOWN for x in lang], 0.0, score)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(work), "doc_id long, lang_pred string, score double")
 
 
 def fold(doc_id: Column, of: int) -> Column:

@@ -6,15 +6,15 @@ shared folder:
 * ``.bin``: the ids of its documents one after the other, little-endian uint16 if the vocabulary has at
   most 65,536 ids, else uint32; every document ends with the end id;
 * ``.off``: little-endian uint64, one more than documents: where each document starts in ``.bin``, in ids;
-* ``.ids``: little-endian int64 document ids (the least int64 stands for null).
+* ``.ids``: little-endian int64 document ids; 0 stands for null. Null ids come last, and the manifest counts them.
 
 The manifest has one row per partition with its counts; prefix sums over it give each partition's base,
 so the global start of a document is base + offset. Files of a task that ran again have other names, and
 only the manifest's are read. ``read_back`` maps the files into memory where they are local, else reads
 them by ranges.
 
-Words between ASCII blanks are encoded once and kept in a bounded cache: the tokenizer drops white space
-and no token crosses it, so the ids of a text are those of its words in order.
+Words between ASCII blanks are encoded once and kept in a bounded cache, which a task gives up when it ends:
+the tokenizer drops white space and no token crosses it, so the ids of a text are those of its words in order.
 
 Defined cases: null text is empty and has the end id alone; null ids come last; rows with equal ids follow
 each other in order of their texts' hashes; an empty table gives no partitions with documents.
@@ -37,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import fs_of, raw, read, shared_dir, table
+from symlake.llm.common import fs_of, read, released, shared_dir, table, text_chunks
 
 END_ID = 2
-CACHE_WORDS = 500_000
-NULL_ID = np.iinfo(np.int64).min
-MANIFEST = "part int, file string, n_docs long, n_tokens long, width int"
+#: Words of a generation of the cache; there are two. About 130 bytes each.
+CACHE_WORDS = 300_000
+#: Ids that are read at once (or one document) where files can't be mapped into memory.
+RANGE_IDS = 1 << 21
+MANIFEST = "part int, file string, n_docs long, n_null long, n_tokens long, width int"
 INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -116,6 +118,9 @@ class WordEncoder:
         self._learn(new)
         return [b"".join(map(self.young.__getitem__, p)) for p in parts]
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
 
 def _drops_blanks(setup: dict) -> bool:
     """Whether the text is cut at white space, which is then removed, so that no id depends on both sides of a blank."""
@@ -151,34 +156,32 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         tail = np.array([end_id], f"<u{encode.width}").tobytes()
         name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         fs, base = fs_of(name)
-        n_docs = n_tokens = 0
+        n_docs = n_null = n_tokens = 0
         files = {}
         try:
             for k in ("bin", "off", "ids"):
                 files[k] = fs.open_output_stream(f"{base}.{k}", compression=None, buffer_size=1 << 20)
             files["off"].write(np.zeros(1, "<u8").tobytes())
-            for b in batches:
-                data, off = raw(b.column("text"))
-                data = data.tobytes()
-                for lo in range(0, b.num_rows, 256):
-                    hi = min(b.num_rows, lo + 256)
-                    done = [x + tail for x in encode([data[off[i] : off[i + 1]] for i in range(lo, hi)])]
-                    ends = n_tokens + np.cumsum([len(x) // encode.width for x in done])
-                    files["bin"].write(b"".join(done))
-                    files["off"].write(ends.astype("<u8").tobytes())
-                    n_tokens = int(ends[-1])
-                ids = b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-                files["ids"].write(ids.astype("<i8").tobytes())
-                n_docs += b.num_rows
+            for part, data, off in text_chunks(batches):
+                done = [x + tail for x in encode([data[off[i] : off[i + 1]].tobytes() for i in range(part.num_rows)])]
+                ends = n_tokens + np.cumsum([len(x) // encode.width for x in done])
+                files["bin"].write(b"".join(done))
+                files["off"].write(ends.astype("<u8").tobytes())
+                n_tokens = int(ends[-1])
+                ids = part.column("doc_id")
+                files["ids"].write(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                n_docs, n_null = n_docs + part.num_rows, n_null + ids.null_count
         finally:
+            encode.forget()
             for f in files.values():
                 f.close()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens], "width": pa.array([encode.width], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "n_docs": [n_docs], "n_null": [n_null], "n_tokens": [n_tokens], "width": pa.array([encode.width], pa.int32())})
 
-    return table(spark, dealt.mapInArrow(put, MANIFEST), f"{folder}/manifest")
+    return table(spark, dealt.mapInArrow(released(put), MANIFEST), f"{folder}/manifest")
 
 
 def _open(uri: str, kind: str) -> np.ndarray:
+    """A whole file of numbers: mapped into memory where it is local, else read."""
     fs, path = fs_of(uri)
     if not fs.get_file_info(path).size:
         return np.zeros(0, kind)
@@ -188,12 +191,29 @@ def _open(uri: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
+def _ranges(uri: str, kind: str, off: np.ndarray, most: int = RANGE_IDS) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first, stop, ids) of runs of documents: one mapped run of a local file, else runs of at most ``most`` ids or one document."""
+    fs, path = fs_of(uri)
+    n = len(off) - 1
+    if isinstance(fs, pafs.LocalFileSystem):
+        yield 0, n, _open(uri, kind)
+        return
+    width = np.dtype(kind).itemsize
+    with fs.open_input_file(path) as f:
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
+            yield lo, hi, np.frombuffer(f.read_at((int(off[hi]) - int(off[lo])) * width, int(off[lo]) * width), kind)
+            lo = hi
+
+
 def documents(row: dict) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, start in the partition, ids) of each document of a manifest row."""
-    ids, off = _open(row["file"] + ".ids", "<i8"), _open(row["file"] + ".off", "<u8")
-    flat = _open(row["file"] + ".bin", f"<u{row['width']}")
-    for i, doc in enumerate(ids):
-        yield None if doc == NULL_ID else int(doc), int(off[i]), flat[int(off[i]) : int(off[i + 1])]
+    ids, off = _open(row["file"] + ".ids", "<i8"), _open(row["file"] + ".off", "<u8").astype(np.int64)
+    null = len(ids) - row["n_null"]
+    for lo, hi, flat in _ranges(row["file"] + ".bin", f"<u{row['width']}", off):
+        for i in range(lo, hi):
+            yield int(ids[i]) if i < null else None, int(off[i]), flat[off[i] - off[lo] : off[i + 1] - off[lo]]
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
@@ -203,9 +223,9 @@ def read_back(manifest: DataFrame) -> DataFrame:
     base, based = 0, []
     for r in rows:
         if r["n_docs"]:
-            based.append((r["file"], r["width"], base))
+            based.append((r["file"], r["width"], r["n_null"], base))
         base += r["n_tokens"]
-    parts = spark.createDataFrame(based, "file string, width int, base long")
+    parts = spark.createDataFrame(based, "file string, width int, n_null long, base long")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
@@ -220,7 +240,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
 
-    return parts.repartition(max(1, len(based))).mapInArrow(get, INDEX)
+    return parts.repartition(max(1, len(based))).mapInArrow(released(get), INDEX)
 
 
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import BYTE_VALUE, CHUNK_BYTES, LOWER, NOT_ALNUM, U64, gram_hashes, raw, read, text_chunks, word_hashes, words
+from symlake.llm.common import BYTE_VALUE, CHUNK_BYTES, LOWER, NOT_ALNUM, U64, gram_hashes, raw, read, released, text_chunks, word_hashes, words
 
 WINDOW, STRIDE = 64, 48
 FIT_ROWS = 1500
@@ -409,7 +409,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = held.value.score(data, off)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(s, pa.float64()), pa.array(s >= 0.5).cast(pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(released(work), "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -420,7 +420,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for part, data, off in text_chunks(batches):
             yield part.filter(pa.array(held.value.score(data, off) < 0.5))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(released(work), docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

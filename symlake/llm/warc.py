@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import fs_of, read, shared_dir, table
+from symlake.llm.common import fs_of, read, released, shared_dir, table
 
 MAX_ARCHIVE = 1 << 30
 MAX_READ = 8 << 20
@@ -117,7 +117,7 @@ def write(pages: DataFrame, folder: str, min_payload: int = 0, max_archive: int
             if out is not None:
                 out.close()
 
-    return table(spark, with_heads(pages, min_payload).mapInArrow(put, INDEX), f"{folder}/index")
+    return table(spark, with_heads(pages, min_payload).mapInArrow(released(put), INDEX), f"{folder}/index")
 
 
 _INDEX_NAMES = ["file", "offset", "length", "url", "digest", "record_type", "page_id"]
@@ -191,7 +191,7 @@ def read_back(index: DataFrame, with_payload: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
                 lo = hi
 
-    return spots.mapInArrow(fetch, RECORD)
+    return spots.mapInArrow(released(fetch), RECORD)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
