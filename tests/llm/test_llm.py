@@ -355,17 +355,44 @@ def test_byte_spans_agree_with_brute_force(docs, corpus, empty):
 
 
 def test_vectors_reach_brute_force(spark):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(600, 16))
-    rows = [(i, x[i].tolist()) for i in range(600)] + [(700, None), (720, [0.0] * 16), (740, [float("nan")] * 16), (760, [None] * 16), (780, [1.0]), (None, x[0].tolist())]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = vectors.search(v, v.where("vec_id % 20 = 0")).collect()
-    near = {i: set(np.lexsort((np.arange(600), -(s := np.where(np.arange(600) == i, -np.inf, x @ x[i]))))[:20].tolist()) for i in range(0, 600, 20)}
-    assert len(got) == 30 * 20 and sum(r["vec_id"] in near[r["query_id"]] for r in got) >= 0.99 * len(got)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 24))
+    x[300:600] = x[0]  # a third of the rows are copies of one vector
+    rows = [(i, x[i].tolist()) for i in range(900)] + [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] * 24), (2003, [None, *[1.0] * 23]), (None, x[5].tolist())]
+    rows += [(2020, x[7].tolist()), (2020, x[8].tolist()), (2040, [1.0, 2.0]), (2041, [3.0, 1.0]), (2042, [-1.0, 0.5])]
+    v = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, rank string, score int").repartition(3)
+    want = {}
+    alive = [(i, e) for i, e in rows if i is not None and e is not None and None not in e and np.isfinite(e).all() and any(e)]
+    for i in {i for i, _ in alive if i % 20 == 0}:
+        q = min(e for j, e in alive if j == i)
+        near = sorted((-sum((a * b for a, b in zip(q, e, strict=True)), 0.0), j) for j, e in alive if j != i and len(e) == len(q))
+        want[i] = [(r + 1, j, -s) for r, (s, j) in enumerate(near[:20])]
+    got = {}
+    for r in vectors.search(v, v.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert got.keys() == want.keys()
+    for i, rows in got.items():
+        assert [r[1] for r in sorted(rows)] == [r[1] for r in want[i]] and np.allclose([r[2] for r in sorted(rows)], [r[2] for r in want[i]], rtol=1e-12, atol=0)
     few = v.where("vec_id < 3")
     assert vectors.search(few, few.where("vec_id = 0")).count() == 2 and vectors.search(v.where("false"), v).count() == 0
 
 
+def test_codes_choose_few_vectors():
+    """On vectors without structure, the worst case, less than a twentieth is reranked and nothing of the 21 nearest is missed."""
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((16384, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centre, turn = x.mean(0), vectors.rotation(64)
+    code, r, f = vectors.codes_of(x, centre, turn)
+    q = x[:100]
+    planes = vectors.Queries(q, vectors.first_floors(q, x[: vectors.SAMPLE], 21), centre, turn)
+    bits = np.unpackbits(code.view(np.uint8), axis=1, bitorder="little")
+    level = sum(np.unpackbits(planes.planes[j].view(np.uint8), axis=1, bitorder="little").astype(int) << j for j in range(vectors.PLANES))
+    assert (vectors.popcounts(planes.planes[:, :5], code[:50]) == level[:5] @ bits[:50].T).all()
+    qi, ci, _, reranked = vectors.search_codes(planes, x, code, r, f, np.arange(len(x)), 21, vectors.EPSILON)
+    want = np.argsort(-(q @ x.T), axis=1)[:, :21]
+    assert reranked < 0.05 * 100 * len(x)
+    assert np.mean([len(set(ci[qi == i]) & set(want[i])) / 21 for i in range(100)]) >= 0.99
 def test_pipeline_stages_keep_columns(docs, empty):
     import corpus_pipeline
 
