@@ -1,24 +1,26 @@
 """Substring dedup over bytes by external suffix sorting.
 
-A byte is removed if a string of 50 bytes that covers it also starts in a document with a smaller id.
+A byte is removed if a string of 50 bytes that covers it also starts in a document with a smaller id. By the
+steps of ``repeats``:
 
-1. Recurring anchors: every 50-byte window has an anchor, its smallest 16-byte gram (see ``anchors``); anchor
-   hashes are counted over the corpus. Only windows whose anchor's gram occurs twice can repeat.
-2. Segments: neighbouring windows with one recurring anchor form a segment of at most 84 bytes. Equal strings
+1. Recurring anchors: every 50-byte window has an anchor, its smallest 24-byte gram (see ``anchors``); anchor
+   grams are counted over the corpus. Only windows whose anchor's gram occurs twice can repeat.
+2. Segments: neighbouring windows with one recurring anchor form a segment of at most 76 bytes. Equal strings
    have equal anchors, so a segment's matches are all among its anchor's. An anchor whose segments all have
-   one content, by a 128-bit hash, needs no sorting. The others' segments are dealt by anchor hash; a shard
-   puts its distinct segments, with separators, into a text on disk and sorts its suffixes (``suffixes``);
-   suffixes that share 50 bytes are one string, whose smallest document is the least of its segments'. All that
-   grows with a shard lies in files, so its memory doesn't; all segments of one anchor still go to one task.
-3. Removal: documents are streamed again; each segment finds, by a 128-bit hash, the ranges of starts whose
-   string also begins in another document, and those with a smaller document are removed.
-
-Equal segments are merged in each block of text before they are shuffled, and again in the shard, so a
-passage that very many documents share is sorted once. Whole documents are never shuffled.
-
-Defined cases: null text is empty; a text of fewer than 50 bytes stays; rows with a null id come last in the
-order of documents; rows that share an id are one document; other columns are ignored; an empty table gives
-no rows. What stays of a text is binary, since a cut may fall inside a character.
+   one content, by 128 bits, has nothing to compare: the windows repeat at all its places.
+3. Sorting: the distinct segments of the other anchors are dealt by their gram into shards of about
+   SHARD_BYTES; segments of a gram in more than CROWDED contexts are cut again where the second smallest gram
+   of their windows changes, and dealt by both grams. A shard puts its segments, with separators, into a text
+   on disk and sorts its suffixes (``suffixes``), whatever its length; suffixes that share 50 bytes are one
+   string, whose smallest document is the least of its segments'.
+4. Removal: ranges of starts whose string also begins in a smaller document go to all places of the segment's
+   content and from there to the documents.
+
+Whole documents travel only to meet what was found for them.
+
+Defined cases: null text is empty; a text of fewer than 50 bytes stays; a null id counts as the largest id
+(2^63 - 1); rows that share an id are one document; other columns are ignored; an empty table gives no rows.
+What stays of a text is binary, since a cut may fall inside a character.
 """
 
 from __future__ import annotations
@@ -35,16 +37,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake.llm.anchors import anchor_of, places, runs
-from symlake.llm.common import BYTE_VALUE, U64, drop_dir, free_shuffles, gram_hashes, mix, order_id, raw, read, read_shard, shared_dir, span_hashes, text_chunks, write_shards
-from symlake.llm.suffixes import BLOCK, array, blocks_of, groups, merged, work_folder
+from symlake.llm.common import BYTE_VALUE, CHUNK_BYTES, U64, drop_dir, free_shuffles, gram_hashes, mix, raw, read, released, shared_dir, span_hashes, table, text_chunks
+from symlake.llm.repeats import contents, first_places, keyed, listed, located, marked, recurring, with_first, with_gone
+from symlake.llm.suffixes import BLOCK, array, blocks_of, groups, work_folder
 
 WINDOW = 50
-GRAM = 16
-ANCHORS_PER_FILE = 8_000_000
-RANGES_PER_FILE = 1_000_000
+GRAM = 24
+#: Segments of a gram with more contents are cut once more.
+CROWDED = 256
+SHARD_BYTES = 32 << 20
 _SECOND = mix(BYTE_VALUE ^ U64(0x2545F4914F6CDD1D))
-SEGMENT = "anchor long, segment binary, low long, high long"
-RANGE = "d1 long, d2 long, first int, stop int, low long"
+SEGMENT = "shard long, gram long, content long, first int, segment binary, low long, high long"
+RANGE = "gram long, content long, first int, stop int, low long"
 
 
 class Bytes:
@@ -59,126 +63,103 @@ class Bytes:
         self.grams = gram_hashes(BYTE_VALUE[data], GRAM)
         self.anchor = anchor_of(self.grams, window - GRAM + 1)
 
-    def segments(self, files: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """First and one past the last window of the segments."""
-        place = places(self.anchor, self.valid)
-        hit = np.zeros(len(self.grams) + 1, bool)
-        for uri in files:
-            known = _held(uri, _anchors)
-            if len(known) and len(place):
-                g = self.grams[place]
-                hit[place] |= known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
-        return runs(self.valid & hit[self.anchor], self.anchor)
 
-    def digests(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(span_hashes(v[self.data], lo, hi + self.window - 1).view(np.int64) for v in (BYTE_VALUE, _SECOND))
+def anchor_places(window: int = WINDOW):
+    """The anchors of a block: row, gram and once more the gram."""
 
+    def work(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b = Bytes(data, off, window)
+        at = places(b.anchor, b.valid)
+        gram = b.grams[at].view(np.int64)
+        return b.row[at], gram, gram
 
-    def distinct(self, files: list[str], docs: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the distinct segments: index, first and stop window, least and greatest document, hashes."""
-        lo, hi = self.segments(files)
-        if not len(lo):
-            return (np.zeros(0, np.int64),) * 7
-        d1, d2 = self.digests(lo, hi)
-        doc = docs[self.row[lo]]
-        order = np.lexsort((d2, d1))
-        new = np.flatnonzero(np.concatenate(([True], (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1]))))
-        pick = order[new]
-        return pick, lo[pick], hi[pick], np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new), d1[pick], d2[pick]
+    return work
 
 
-def _anchors(t: pa.Table) -> np.ndarray:
-    return np.sort(t.column("anchor").to_numpy().view(U64))
+def spans(window: int = WINDOW):
+    """The segments of a block around its recurring anchors (known, sorted)."""
 
+    def work(data: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        b = Bytes(data, off, window)
+        place = places(b.anchor, b.valid)
+        if not len(known) or not len(place):
+            return (np.zeros(0, np.int64),) * 5
+        hit = np.zeros(len(b.grams) + 1, bool)
+        gram = b.grams[place].view(np.int64)
+        hit[place] = known[np.minimum(np.searchsorted(known, gram), len(known) - 1)] == gram
+        lo, hi = runs(b.valid & hit[b.anchor], b.anchor)
+        content = span_hashes(_SECOND[data], lo, hi + window - 1).view(np.int64)
+        return b.row[lo], b.grams[b.anchor[lo]].view(np.int64), content, lo - off[b.row[lo]], hi - lo
 
-def _ranges(t: pa.Table) -> tuple[np.ndarray, ...]:
-    cols = [t.column(c).to_numpy() for c in ("d1", "d2", "first", "stop", "low")]
-    order = np.argsort(cols[0], kind="stable")
-    return tuple(c[order] for c in cols)
+    return work
 
 
-_cache: dict[str, object] = {}
+def segments(first: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The bytes of each distinct content, in one piece or, if its gram is crowded, in pieces (SEGMENT)."""
+    names = ["shard", "gram", "content", "first", "segment", "low", "high"]
+    crowded = first.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > CROWDED).select("gram", F.lit(True).alias("crowded"))
+    first = first.join(crowded, "gram", "left")
 
-
-def _held(uri: str, make) -> object:
-    if uri not in _cache:
-        same = [k for k, v in _cache.items() if isinstance(v, tuple) == (make is _ranges)]
-        for k in same[: max(0, len(same) - 1)]:
-            del _cache[k]
-        _cache[uri] = make(read_shard(uri))
-    return _cache[uri]
-
-
-def recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The hashes of anchors' grams that occur at two places or more."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, off in text_chunks(batches):
-            b = Bytes(data, off, window)
-            g, n = np.unique(b.grams[places(b.anchor, b.valid)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
-
-    found = docs.select("text").mapInArrow(count, "anchor long, n long")
-    return found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-
-
-def contents(docs: DataFrame, files: list[str], window: int = WINDOW) -> DataFrame:
-    """For each recurring anchor the least and greatest content hash and document, and the starts in a segment."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "d1", "d2", "low", "high", "starts"]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_chunks(batches):
-            b = Bytes(data, off, window)
-            pick, lo, hi, low, high, d1, d2 = b.distinct(files, order_id(part.column("doc_id")))
-            anchor = b.grams[b.anchor[lo]].view(np.int64) if len(lo) else lo
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, d1, d2, low, high, (hi - lo).astype(np.int64))], names=names)
-
-    found = docs.select("doc_id", "text").mapInArrow(cut, "anchor long, d1 long, d2 long, low long, high long, starts long")
-    both = [f(c).alias(f"{c}_{n}") for c in ("d1", "d2") for n, f in (("min", F.min), ("max", F.max))]
-    return found.groupBy("anchor").agg(*both, F.min("low").alias("low"), F.max("high").alias("high"), F.max("starts").alias("starts"))
-
-
-def segments(docs: DataFrame, files: list[str], window: int = WINDOW) -> DataFrame:
-    """anchor, segment and the smallest and largest document of each block's distinct segments."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in text_chunks(batches):
-            b = Bytes(data, off, window)
-            _, lo, hi, low, high, _, _ = b.distinct(files, order_id(part.column("doc_id")))
-            whole = data.tobytes()
-            seg = [whole[x:y] for x, y in zip(lo.tolist(), (hi + window - 1).tolist(), strict=True)]
-            anchor = b.grams[b.anchor[lo]].view(np.int64) if len(lo) else lo
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(seg, pa.binary()), pa.array(low), pa.array(high)], names=["anchor", "segment", "low", "high"])
-
-    return docs.select("doc_id", "text").mapInArrow(cut, SEGMENT)
+            row, found = listed(part.column("found"))
+            gram, content, low, high, at, starts = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in found.flatten()[:-1])
+            again = found.flatten()[-1].fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            begin = off[row] + at
+            length = starts + window - 1
+            ends = np.cumsum(length)
+            text = data[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+            of, lo, hi, shard = cut_again(text, ends - length, ends, gram, again, window)
+            whole = text.tobytes()
+            seg = pa.array([whole[x:y] for x, y in zip(lo.tolist(), (hi + window - 1).tolist(), strict=True)], pa.binary())
+            cols = (shard, gram[of], content[of], (lo - (ends - length)[of]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), seg, pa.array(low[of]), pa.array(high[of])], names=names)
+
+    fields = ["gram", "content", F.col("doc").alias("low"), "high", "at", "starts", "crowded"]
+    return with_first(docs, first, fields).mapInArrow(released(work), SEGMENT)
+
+
+def cut_again(text: np.ndarray, begin: np.ndarray, end: np.ndarray, gram: np.ndarray, again: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Pieces of segments text[begin:end]: segment, first and one past the last window in the text, and shard key.
+
+    Those with ``again`` are cut where the smallest gram but the segment's own changes; equal windows fall in
+    pieces with equal keys.
+    """
+    n = len(begin)
+    whole = np.flatnonzero(~again)
+    of, lo, hi, key = [whole], [begin[whole]], [end[whole] - window + 1], [gram[whole]]
+    if again.any():
+        row = np.repeat(np.arange(n), end - begin)
+        valid = (row[: len(row) - window + 1] == row[window - 1 :]) & again[row[: len(row) - window + 1]]
+        grams = gram_hashes(BYTE_VALUE[text], GRAM)
+        grams[grams.view(np.int64) == gram[row[: len(grams)]]] = np.iinfo(U64).max
+        second = anchor_of(grams, window - GRAM + 1)
+        a, z = runs(valid, second)
+        r = row[a]
+        of.append(r)
+        lo.append(a)
+        hi.append(z)
+        key.append(mix(gram[r].view(U64) ^ mix(grams[second[a]])).view(np.int64))
+    return tuple(np.concatenate(x) for x in (of, lo, hi, key))
 
 
 def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.ndarray, window: int, folder: str, **options: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blocks of (d1, d2, first, stop, low) of the starts in segments whose string begins in two documents or more.
+    """Blocks of (segment, first, stop, low) of the starts in segments whose string begins in two documents or more.
 
-    Ends of blocks may leave a segment twice in the text or cut a range in two, which changes no covered byte.
+    Ends of blocks may cut a range in two, which changes no covered byte.
     """
-    d1, d2 = _digests(data, off, folder)
-    pick, least, most = (array(folder, np.int64, len(d1)) for _ in range(3))
-    k = 0
-    for block in merged(((d1[z], np.arange(z.start, z.stop)) for z in blocks_of(len(d1))), folder):
-        at = block[:, 1]
-        at = at[np.lexsort((d2[at], d1[at]))]
-        new = np.flatnonzero(np.concatenate(([True], (d1[at[1:]] != d1[at[:-1]]) | (d2[at[1:]] != d2[at[:-1]]))))
-        z = slice(k, k + len(new))
-        pick[z], least[z], most[z] = at[new], np.minimum.reduceat(low[at], new), np.maximum.reduceat(high[at], new)
-        k = z.stop
-    pick, start, end = pick[:k], array(folder, np.int64, k), 0
+    k = len(off) - 1
+    start, end = array(folder, np.int64, k), 0
     for z in blocks_of(k):
-        n = off[pick[z] + 1] - off[pick[z]] + 1  # a separator after each segment
+        n = off[z.start + 1 : z.stop + 1] - off[z] + 1  # a separator after each segment
         start[z] = end + np.cumsum(n) - n
         end += int(n.sum())
     t = array(folder, np.uint16, end)
     step = max(1, BLOCK >> 6)
     for a in range(0, k, step):
-        z = slice(a, a + step)
-        n = off[pick[z] + 1] - off[pick[z]]
-        at = np.repeat(off[pick[z]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        z = slice(a, min(k, a + step))
+        n = off[z.start + 1 : z.stop + 1] - off[z]
+        at = np.repeat(off[z] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         to = np.repeat(start[z] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         t[to] = data[at].astype(np.uint16) + 1
     hit, low_at = array(folder, bool, end), array(folder, np.int64, end)
@@ -199,12 +180,12 @@ def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.nd
 
         for pos, fresh in groups(t, window, folder, **options):
             seg = np.searchsorted(start, pos, "right") - 1
-            ok = pos - start[seg] + window <= off[pick[seg] + 1] - off[pick[seg]]  # alike in all of a set
+            ok = pos - start[seg] + window <= off[seg + 1] - off[seg]  # alike in all of a set
             pos, fresh, seg = pos[ok], fresh[ok], seg[ok]
             if not len(pos):
                 continue
             cut = np.flatnonzero(np.concatenate(([True], fresh[1:])))
-            lo, hi = np.minimum.reduceat(least[seg], cut), np.maximum.reduceat(most[seg], cut)
+            lo, hi = np.minimum.reduceat(low[seg], cut), np.maximum.reduceat(high[seg], cut)
             if not fresh[0]:
                 lo_open, hi_open = min(lo_open, int(lo[0])), max(hi_open, int(hi[0]))
                 lo[0], hi[0] = lo_open, hi_open
@@ -223,109 +204,84 @@ def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.nd
             at = pos - start[seg]
             new = np.flatnonzero(np.concatenate(([True], (pos[1:] != pos[:-1] + 1) | (lo[1:] != lo[:-1]))))
             last = np.append(new[1:] - 1, len(pos) - 1)
-            own = pick[seg[new]]
-            yield d1[own], d2[own], at[new].astype(np.int32), (at[last] + 1).astype(np.int32), lo[new]
-
-
-def _digests(data: np.ndarray, off: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """The segments' hashes, a block of them at a time."""
-    d1, d2 = (array(folder, np.int64, len(off) - 1) for _ in range(2))
-    step = max(1, BLOCK >> 6)
-    for a in range(0, len(off) - 1, step):
-        z = min(len(off) - 1, a + step)
-        part, at = np.asarray(data[off[a] : off[z]]), off[a : z + 1] - off[a]
-        d1[a:z], d2[a:z] = (span_hashes(v[part], at[:-1], at[1:]).view(np.int64) for v in (BYTE_VALUE, _SECOND))
-    return d1, d2
+            yield seg[new], at[new].astype(np.int32), (at[last] + 1).astype(np.int32), lo[new]
 
 
 def repeated(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Ranges of starts with their smallest document, by the segment's hash, from dealt segments."""
-    n = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Ranges of starts with their smallest document, by gram and content, of the segments of found."""
+    size = found.agg(F.sum(F.length("segment"))).first()[0] or 0
+    n = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = work_folder()
         try:
-            names, end = ("segments", "ends", "low", "high"), 0
+            columns = ("gram", "content", "low", "high")
+            names, end = ("segments", "ends", "first", *columns), 0
             with contextlib.ExitStack() as stack:
                 f = {x: stack.enter_context(open(os.path.join(folder, x), "wb")) for x in names}
                 f["ends"].write(np.zeros(1, np.int64).tobytes())
                 for b in batches:
                     data, off = raw(b.column("segment"))
-                    f["segments"].write(data.tobytes())
-                    f["ends"].write((end + np.cumsum(np.diff(off), dtype=np.int64)).tobytes())
+                    f["segments"].write(data)
+                    f["ends"].write((end + off[1:]).tobytes())
                     end += len(data)
-                    for x in ("low", "high"):
+                    f["first"].write(b.column("first").to_numpy().tobytes())
+                    for x in columns:
                         f[x].write(b.column(x).to_numpy().tobytes())
             if not end:
                 return
-            data, off, low, high = (np.asarray(np.memmap(os.path.join(folder, x), np.uint8 if x == "segments" else np.int64, "r")) for x in names)
+            kind = {"segments": np.uint8, "first": np.int32}
+            data, off, first, gram, content, low, high = (np.asarray(np.memmap(os.path.join(folder, x), kind.get(x, np.int64), "r")) for x in names)
             for out in shard_ranges(data, off, low, high, window, folder):
                 for a in range(0, len(out[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[a : a + (1 << 16)])) for x in out], names=["d1", "d2", "first", "stop", "low"])
+                    seg, lo, hi, least = (x[a : a + (1 << 16)] for x in out)
+                    cols = (gram[seg], content[seg], first[seg] + lo, first[seg] + hi, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=["gram", "content", "first", "stop", "low"])
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    return found.repartition(n, "anchor").select("segment", "low", "high").mapInArrow(sort, RANGE)
-
-
-def covered(b: Bytes, docs: np.ndarray, anchors: list[str], ranges: list[str]) -> np.ndarray:
-    """The bytes of a block that are removed; docs: the id of each row."""
-    lo, hi = b.segments(anchors)
-    delta = np.zeros(len(b.data) + 1, np.int64)
-    if len(lo):
-        d1, d2 = b.digests(lo, hi)
-        mine = docs[b.row[lo]]
-        for uri in ranges:
-            k1, k2, first, stop, low = _held(uri, _ranges)
-            at, end = np.searchsorted(k1, d1, "left"), np.searchsorted(k1, d1, "right")
-            while (more := at < end).any():
-                here = np.flatnonzero(more)
-                k = at[here]
-                ok = (k2[k] == d2[here]) & (low[k] < mine[here])
-                k, here = k[ok], here[ok]
-                np.add.at(delta, lo[here] + first[k], 1)
-                np.add.at(delta, lo[here] + stop[k] - 1 + b.window, -1)
-                at = at + 1
-    return np.cumsum(delta[:-1]) > 0
+    return found.repartition(n, "shard").drop("shard").mapInArrow(released(sort), RANGE)
+
+
+def decisions(docs: DataFrame, found: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
+    """Ranges of starts in contents that also begin in another document, and the smallest one (RANGE)."""
+    spark = docs.sparkSession
+    grams = contents(found, folder)
+    alone = found.join(grams.where("low = high").select("gram"), "gram").groupBy("gram", "content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("starts").alias("stop"))
+    alone = alone.where("low < high").select("gram", "content", F.lit(0).alias("first"), "stop", "low")
+    first = first_places(found, grams.where("low != high"), folder)
+    pieces = table(spark, segments(first, docs, window), f"{folder}/segments")
+    free_shuffles(spark)
+    return table(spark, alone.union(repeated(pieces, window)), f"{folder}/decided")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "bytespans")
-    spill = lambda df, name: (df.write.parquet(f"{folder}/{name}-all"), spark.read.schema(df.schema).parquet(f"{folder}/{name}-all"))[1]
-    anchors = write_shards(spark, spill(recurring(docs, window), "anchors"), ["anchor"], f"{folder}/anchors", ANCHORS_PER_FILE)
-    drop_dir(spark, f"{folder}/anchors-all")
-    free_shuffles(spark)
-    found = spill(contents(docs, anchors, window), "contents")
-    free_shuffles(spark)
-    one = (F.col("d1_min") == F.col("d1_max")) & (F.col("d2_min") == F.col("d2_max"))
-    several = write_shards(spark, found.where(~one).select("anchor"), ["anchor"], f"{folder}/several", ANCHORS_PER_FILE)
-    alone = found.where(one & (F.col("low") < F.col("high"))).select(
-        F.col("d1_min").alias("d1"), F.col("d2_min").alias("d2"), F.lit(0).alias("first"), F.col("starts").cast("int").alias("stop"), "low"
-    )
-    sorted_ = spill(repeated(segments(docs, several, window), window), "ranges")
-    free_shuffles(spark)
-    ranges = write_shards(spark, alone.union(sorted_), ["d1"], f"{folder}/ranges", RANGES_PER_FILE)
-    drop_dir(spark, f"{folder}/contents-all")
-    drop_dir(spark, f"{folder}/ranges-all")
+    docs = keyed(docs)
+    known = recurring(docs, anchor_places(window), folder, CHUNK_BYTES)
+    found = located(docs, known, spans(window), folder, CHUNK_BYTES)
+    decided = decisions(docs, found, folder, window)
+    for name in ("segments", "first", "contents"):
+        drop_dir(spark, f"{folder}/{name}")
     free_shuffles(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_chunks(batches):
-            b = Bytes(data, off, window)
-            gone = covered(b, order_id(part.column("doc_id")), anchors, ranges)
+            gone = marked(part, off[:-1], len(data), window)
             rows = part.num_rows
-            lost = np.bincount(b.row[gone], minlength=rows)
+            row = np.repeat(np.arange(rows), np.diff(off))
+            lost = np.bincount(row[gone], minlength=rows)
             head = gone.copy()
-            head[1:] &= ~gone[:-1] | (b.row[1:] != b.row[:-1])
-            spans = np.bincount(b.row[head], minlength=rows)
+            head[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
+            n_spans = np.bincount(row[head], minlength=rows)
             stay = data[~gone].tobytes()
             at = np.concatenate(([0], np.cumsum(np.diff(off) - lost))).tolist()
             kept = pa.array([stay[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), kept, pa.array(np.diff(off)), pa.array(lost), pa.array(spans)], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), kept, pa.array(np.diff(off)), pa.array(lost), pa.array(n_spans)], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return with_gone(docs, found, decided, F.col("low") < F.col("doc"), folder).mapInArrow(released(cut), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op9_bytespans(spark: SparkSession, sf_dir: str) -> DataFrame:

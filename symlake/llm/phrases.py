@@ -1,32 +1,31 @@
 """Substring dedup over words with repeated-phrase automata.
 
 A window is 20 consecutive words. A word is removed if a window that covers it also starts earlier, in a
-document with a smaller id or further up in the same one. Three passes stream over the documents:
+document with a smaller id or further up in the same one. By the steps of ``repeats``:
 
 1. Recurring phrases: each window's anchor phrase (6 words, see ``anchors``) is counted over the corpus;
-   those that occur twice or more are dealt into sorted files of bounded size. For each block of text a
-   worker takes from them the phrases that are among the block's own anchors, and compiles these into
-   the block's Aho-Corasick automaton, which thus never holds more than a block has places. A word is one letter there, 8 bits of its hash, so that no node has more
-   than 256 children (they are searched one by one); a phrase that is located by a chance agreement of
-   its 48 bits only makes a window more to be counted in the next pass.
-2. Recurring windows: the automata run over all blocks and locate every occurrence of the phrases in all documents; the windows
-   around them are counted by a 128-bit hash of their words, with the smallest document that has them.
-   What occurs twice or more is a confirmed passage, again dealt into files.
-3. Removal: the automata locate the phrases once more, windows found among the confirmed ones and not
-   first are marked, and the words that stay are joined by one blank.
-
-Counts are combined in each task before they are shuffled, so a passage that very many documents share
-travels once per block of text. Documents themselves are never shuffled. If there are more files than the
-cache holds, each is read once per block.
-
-Defined cases: null text has no words; documents with fewer words than a window stay as they are; rows
-with a null id come last in the order of documents; rows that share an id are one document of which no row
-is earlier than another; other columns are ignored; an empty table gives no rows.
+   those that occur twice or more are sent to the documents that have them.
+2. Sharded automata: for each shard of documents (a block of text) the phrases that were sent to it are
+   compiled into an Aho-Corasick automaton, and the shard is streamed through it, once. Only the automaton says
+   where phrases occur. A word is one letter there, 8 bits of its hash, so that no node has more than 256
+   children (they are searched one by one); a phrase that is located by a chance agreement of its 48 bits only
+   makes a segment that is found to occur once. Windows around a located anchor are cut into segments.
+3. Confirmed passages: contents of segments are compared by 128 bits. For phrases in several contexts the
+   windows of each distinct content are compared by a 128-bit hash of their words, which gives the first place
+   of every window.
+4. Removal: windows that have an earlier place are marked at all places, and the words that stay are joined by
+   one blank.
+
+Automata grow with a block, not with the corpus, and each is compiled once.
+
+Defined cases: null text has no words; documents with fewer words than a window stay as they are; a null id
+counts as the largest id (2^63 - 1); rows that share an id are one document, in which a place further up in its
+row is earlier, and equal places in two rows are not; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -34,16 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.anchors import anchor_of, places
-from symlake.llm.common import SPACES, U64, drop_dir, free_shuffles, gram_hashes, mix, order_id, read, read_shard, shared_dir, text_chunks, word_hashes, words, write_shards
+from symlake.llm.anchors import anchor_of, places, runs
+from symlake.llm.common import SPACES, U64, drop_dir, free_shuffles, gram_hashes, mix, read, released, shared_dir, span_hashes, table, text_chunks, word_hashes, words
+from symlake.llm.repeats import contents, first_places, keyed, listed, located, marked, recurring, with_first, with_gone
 
 WINDOW = 20
 PHRASE = 6
-PHRASES_PER_FILE = 2_000_000
-WINDOWS_PER_FILE = 2_000_000
 #: Bytes of text (or one document) that share an automaton.
 BLOCK_BYTES = 2 << 20
-_KEPT = 2  # files of a kind in a worker
+_SECOND = U64(0x5851F42D4C957F2D)
 
 
 class Words:
@@ -52,6 +50,7 @@ class Words:
     def __init__(self, data: np.ndarray, off: np.ndarray, window: int):
         self.data, self.off, self.window = data, off, window
         self.starts, self.ends, self.row = words(data, off, SPACES)
+        self.base = np.searchsorted(self.row, np.arange(len(off)))  # each row's first word
         self.h = word_hashes(data, self.starts, self.ends)
         self.symbols = (self.h & U64(0xFF)).astype(np.uint8)
         n = len(self.h) - window + 1
@@ -61,7 +60,7 @@ class Words:
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits for each window."""
-        return gram_hashes(self.h, self.window), gram_hashes(mix(self.h ^ U64(0x5851F42D4C957F2D)), self.window)
+        return gram_hashes(self.h, self.window), gram_hashes(mix(self.h ^ _SECOND), self.window)
 
 
 def _letters(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -69,28 +68,6 @@ def _letters(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (symbols[at[:, None] + np.arange(PHRASE)].astype(np.int64) << (8 * np.arange(PHRASE))).sum(1)
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that sorts the rows of keys, first of each distinct row in that order, and counts."""
-    order = np.lexsort(keys.T[::-1])
-    k = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1)))) if len(k) else np.zeros(0, np.int64)
-    return order, first, np.diff(np.concatenate((first, [len(k)])))
-
-
-def phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """letters of the anchor phrases that occur at two places or more."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, off in text_chunks(batches, limit=BLOCK_BYTES):
-            w = Words(data, off, window)
-            at = places(w.anchor, w.valid)
-            gram, first, n = np.unique(w.grams[at], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(_letters(w.symbols, at[first])), pa.array(n)], names=["gram", "letters", "n"])
-
-    found = docs.select("text").mapInArrow(count, "gram long, letters long, n long")
-    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("letters").alias("letters")).where("n > 1").select("letters")
-
-
 def automaton(s: np.ndarray) -> ahocorasick.Automaton:
     """Of phrases, each given by its letters in one number."""
     a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -102,122 +79,100 @@ def automaton(s: np.ndarray) -> ahocorasick.Automaton:
     return a
 
 
-def recurring(t: pa.Table) -> np.ndarray:
-    """The letters of a file's phrases, sorted."""
-    return t.column("letters").to_numpy()
-
+def phrase_places(window: int = WINDOW):
+    """The anchor phrases of a block: row, gram and letters."""
 
-class Confirmed:
-    """Recurring windows: hashes, sorted by the first, and the smallest document of each."""
+    def work(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = Words(data, off, window)
+        at = places(w.anchor, w.valid)
+        return w.row[at], w.grams[at].view(np.int64), _letters(w.symbols, at)
 
-    def __init__(self, t: pa.Table):
-        self.w1, self.w2, self.doc = (t.column(c).to_numpy() for c in ("w1", "w2", "doc"))
+    return work
 
-    def find(self, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each window is here, and its smallest document."""
-        lo, hi = np.searchsorted(self.w1, w1, "left"), np.searchsorted(self.w1, w1, "right")
-        at = np.full(len(w1), -1)
-        while (more := lo < hi).any():
-            same = more & (self.w2[np.minimum(lo, len(self.w2) - 1)] == w2)
-            at[same] = lo[same]
-            lo = lo + 1
-        return at >= 0, self.doc[np.maximum(at, 0)] if len(self.doc) else at
 
+def passages(window: int = WINDOW):
+    """The segments of a block around the phrases (letters) that its automaton locates."""
 
-_cache: dict[str, object] = {}
+    def work(data: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        w = Words(data, off, window)
+        if not len(known):
+            return (np.zeros(0, np.int64),) * 5
+        hit = np.zeros(len(w.h) + 1, bool)
+        ends = np.fromiter((end for end, _ in automaton(known).iter(w.symbols.tobytes().decode("latin-1"))), np.int64)
+        hit[ends - PHRASE + 1] = True
+        lo, hi = runs(w.valid & hit[w.anchor], w.anchor)
+        content = span_hashes(mix(w.h ^ _SECOND), lo, hi + window - 1).view(np.int64)
+        row = w.row[lo]
+        return row, w.grams[w.anchor[lo]].view(np.int64), content, lo - w.base[row], hi - lo
 
+    return work
 
-def _held(uri: str, make: Callable[[pa.Table], object]) -> object:
-    """make(file), kept for the next block; the last _KEPT of a kind stay."""
-    if uri not in _cache:
-        kind = [k for k, v in _cache.items() if isinstance(v, Confirmed) == (make is Confirmed)]
-        for k in kind[: max(0, len(kind) - _KEPT + 1)]:
-            del _cache[k]
-        _cache[uri] = make(read_shard(uri))
-    return _cache[uri]
 
+def windows(first: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """gram, content, first, w1, w2, low, low_at: the windows of each content and the first place of the content."""
+    fields = ["gram", "content", "doc", "at", "starts"]
+    names = ["gram", "content", "first", "w1", "w2", "low", "low_at"]
 
-def located(w: Words, files: list[str]) -> np.ndarray:
-    """The windows whose anchor phrase the automata locate."""
-    mine = np.unique(_letters(w.symbols, places(w.anchor, w.valid)))
-    here = np.zeros(len(mine), bool)
-    for uri in files if len(mine) else ():
-        known = _held(uri, recurring)
-        lo = np.searchsorted(known, mine)
-        here |= np.searchsorted(known, mine, "right") > lo
-    if not here.any():
-        return np.zeros(0, np.int64)
-    ends = np.fromiter((end for end, _ in automaton(mine[here]).iter(w.symbols.tobytes().decode("latin-1"))), np.int64)
-    hit = np.zeros(len(w.h), bool)
-    hit[ends - PHRASE + 1] = True
-    return np.flatnonzero(w.valid & hit[w.anchor])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in text_chunks(batches, limit=BLOCK_BYTES):
+            w = Words(data, off, window)
+            w1, w2 = (x.view(np.int64) for x in w.hashes())
+            row, found = listed(part.column("found"))
+            gram, content, doc, at, starts = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in found.flatten())
+            of = np.repeat(np.arange(len(row)), starts)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
+            spot = w.base[row[of]] + at[of] + step
+            cols = (gram[of], content[of], step.astype(np.int32), w1[spot], w2[spot], doc[of], (at[of] + step).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
+    return with_first(docs, first, fields).mapInArrow(released(work), "gram long, content long, first int, w1 long, w2 long, low long, low_at int")
 
-def passages(docs: DataFrame, files: list[str], window: int = WINDOW) -> DataFrame:
-    """w1, w2, doc: windows that occur twice or more, and their smallest document."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in text_chunks(batches, limit=BLOCK_BYTES):
-            w = Words(data, off, window)
-            at = located(w, files)
-            w1, w2 = (x[at].view(np.int64) for x in w.hashes()) if len(at) else (at, at)
-            doc = order_id(part.column("doc_id"))[w.row[at]]
-            order, first, n = _grouped(np.stack((w1, w2), 1)) if len(at) else (at, at, at)
-            low = np.minimum.reduceat(doc[order], first) if len(at) else doc
-            yield pa.RecordBatch.from_arrays([pa.array(w1[order][first]), pa.array(w2[order][first]), pa.array(low), pa.array(n.astype(np.int64))], names=["w1", "w2", "doc", "n"])
-
-    found = docs.select("doc_id", "text").mapInArrow(count, "w1 long, w2 long, doc long, n long")
-    return found.groupBy("w1", "w2").agg(F.min("doc").alias("doc"), F.sum("n").alias("n")).where("n > 1").select("w1", "w2", "doc")
-
-
-def covered(w: Words, docs: np.ndarray, files: list[str], windows: list[str]) -> np.ndarray:
-    """The words of a block that are removed; docs: the id of each row."""
-    at = located(w, files)
-    delta = np.zeros(len(w.h) + 1, np.int64)
-    if len(at):
-        w1, w2 = (x[at].view(np.int64) for x in w.hashes())
-        row = w.row[at]
-        mine = docs[row]
-        gone = np.zeros(len(at), bool)
-        for uri in windows:
-            here, first = _held(uri, Confirmed).find(w1, w2)
-            gone |= here & (first < mine)
-        order = np.lexsort((at, w2, w1, row))
-        again = (row[order][1:] == row[order][:-1]) & (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
-        gone[order[1:][again]] = True
-        np.add.at(delta, at[gone], 1)
-        np.add.at(delta, at[gone] + w.window, -1)
-    return np.cumsum(delta[:-1]) > 0
+def decisions(docs: DataFrame, found: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
+    """gram, content, first, stop, low, low_at: windows of a content, and where they would begin if they were first."""
+    spark = docs.sparkSession
+    grams = contents(found, folder)
+    low = F.min(F.struct("doc", "at")).alias("x")
+    alone = found.join(grams.where("low = high").select("gram"), "gram").groupBy("gram", "content").agg(low, F.max("starts").alias("stop"))
+    alone = alone.select("gram", "content", F.lit(0).alias("first"), "stop", F.col("x.doc").alias("low"), F.col("x.at").alias("low_at"))
+    first = first_places(found, grams.where("low != high"), folder)
+    each = table(spark, windows(first, docs, window), f"{folder}/windows")
+    free_shuffles(spark)
+    least = each.groupBy("w1", "w2").agg(F.min(F.struct("low", "low_at")).alias("x"))
+    several = each.select("gram", "content", "first", "w1", "w2").join(least, ["w1", "w2"])
+    several = several.select("gram", "content", "first", (F.col("first") + 1).alias("stop"), F.col("x.low").alias("low"), (F.col("x.low_at") - F.col("first")).alias("low_at"))
+    return table(spark, alone.union(several), f"{folder}/decided")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text (the words that stay), n_words, n_removed of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "phrases")
-    spill = lambda df, name: (df.write.parquet(f"{folder}/{name}-all"), spark.read.schema(df.schema).parquet(f"{folder}/{name}-all"))[1]
-    files = write_shards(spark, spill(phrases(docs, window), "phrases"), ["letters"], f"{folder}/phrases", PHRASES_PER_FILE, ordered=True)
-    drop_dir(spark, f"{folder}/phrases-all")
-    free_shuffles(spark)
-    windows = write_shards(spark, spill(passages(docs, files, window), "windows"), ["w1", "w2"], f"{folder}/windows", WINDOWS_PER_FILE, ordered=True)
-    drop_dir(spark, f"{folder}/windows-all")
+    docs = keyed(docs)
+    known = recurring(docs, phrase_places(window), folder, BLOCK_BYTES)
+    found = located(docs, known, passages(window), folder, BLOCK_BYTES)
+    decided = decisions(docs, found, folder, window)
+    for name in ("windows", "first", "contents"):
+        drop_dir(spark, f"{folder}/{name}")
     free_shuffles(spark)
+    later = (F.col("low") < F.col("doc")) | ((F.col("low") == F.col("doc")) & (F.col("low_at") < F.col("at")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_chunks(batches, limit=BLOCK_BYTES):
-            w = Words(data, off, window)
-            gone = covered(w, order_id(part.column("doc_id")), files, windows)
+            _, _, row = words(data, off, SPACES)
             rows = part.num_rows
-            n, lost = np.bincount(w.row, minlength=rows), np.bincount(w.row[gone], minlength=rows)
-            at = np.searchsorted(w.row, np.arange(rows + 1))
+            at = np.searchsorted(row, np.arange(rows + 1))
+            gone = marked(part, at, len(row), window)
+            n, lost = np.diff(at), np.bincount(row[gone], minlength=rows)
             whole, kept = data.tobytes(), []
             for i in range(rows):
                 parts = whole[off[i] : off[i + 1]].split()
                 if lost[i]:
                     parts = [x for x, g in zip(parts, gone[at[i] : at[i + 1]].tolist(), strict=True) if not g]
                 kept.append(b" ".join(parts))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n), pa.array(lost)], names=["doc_id", "text", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n), pa.array(lost)], names=["doc_id", "text", "n_words", "n_removed"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long")
+    return with_gone(docs, found, decided, later, folder).mapInArrow(released(cut), "doc_id long, text string, n_words long, n_removed long")
 
 
 def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,15 +175,43 @@ def test_shard_agrees_with_brute_force(monkeypatch, tmp_path):
             lo, hi = of.get(x[i : i + 50], (99, -1))
             of[x[i : i + 50]] = (min(lo, a), max(hi, z))
     want = {(x, i, of[x[i : i + 50]][0]) for x in seg for i in range(len(x) - 49) if of[x[i : i + 50]][0] < of[x[i : i + 50]][1]}
-    d1, d2 = (common.span_hashes(v[data], off[:-1], off[1:]).view(np.int64) for v in (common.BYTE_VALUE, bytespans._SECOND))
-    name = dict(zip(zip(d1.tolist(), d2.tolist(), strict=True), seg, strict=True))
     got = set()
     for block in bytespans.shard_ranges(data, off, low, high, 50, str(tmp_path), base=8, memory=64):
-        for a, b, first, stop, lo in zip(*(x.tolist() for x in block), strict=True):
-            got |= {(name[a, b], i, lo) for i in range(first, stop)}
+        for k, first, stop, lo in zip(*(x.tolist() for x in block), strict=True):
+            got |= {(seg[k], i, lo) for i in range(first, stop)}
     assert got == want
 
 
+def test_crowded_segments_are_cut_alike():
+    """Equal windows of crowded segments fall in pieces with equal keys, and no window is lost."""
+    data, off, _, _ = shard(300)
+    n = len(off) - 1
+    again = np.arange(n) % 7 > 0
+    gram = common.gram_hashes(common.BYTE_VALUE[data], bytespans.GRAM)[off[:-1] + 7].view(np.int64)
+    of, lo, hi, key = bytespans.cut_again(data, off[:-1], off[1:], gram, again, 50)
+    found, keys = {}, {}
+    for k, a, z, x in zip(of.tolist(), lo.tolist(), hi.tolist(), key.tolist(), strict=True):
+        found.setdefault(k, []).extend(range(a - off[k], z - off[k]))
+        for i in range(a, z):
+            if again[k]:
+                keys.setdefault(data[i : i + 50].tobytes(), set()).add(x)
+    assert {k: sorted(v) for k, v in found.items()} == {k: list(range(off[k + 1] - off[k] - 49)) for k in range(n)}
+    assert all(len(v) == 1 for v in keys.values()) and len(set(key.tolist())) > n
+
+
+def test_the_automaton_locates_phrases():
+    """What a block finds comes from its automaton: all places of its phrases, none of others."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("abcdefgh")
+    text = [" ".join(word() for _ in range(400)).encode() for _ in range(3)]
+    data, off = np.frombuffer(b"".join(text), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in text])))
+    row, gram, letters = phrases.phrase_places()(data, off)
+    pick = np.arange(len(letters)) % 3 == 0
+    got_row, got_gram, _, at, starts = phrases.passages()(data, off, np.unique(letters[pick]))
+    assert set(gram[pick].tolist()) <= set(got_gram.tolist()) and set(got_gram.tolist()) <= set(gram[np.isin(letters, letters[pick])].tolist())
+    assert len(phrases.passages()(data, off, np.zeros(0, np.int64))[0]) == 0 and (starts > 0).all() and set(got_row.tolist()) <= {0, 1, 2} and (at >= 0).all()
+
+
 def test_memory_of_a_shard_does_not_grow_with_it(monkeypatch, tmp_path):
     small_blocks(monkeypatch, 1 << 13)
     peaks = []
@@ -338,7 +366,8 @@ def test_phrases_agree_with_brute_force(docs, corpus, empty):
     assert phrases.remove_repeats(empty).count() == 0
 
 
-def test_byte_spans_agree_with_brute_force(docs, corpus, empty):
+@pytest.mark.parametrize("crowded", [256, 2])
+def test_byte_spans_agree_with_brute_force(docs, corpus, empty, crowded, monkeypatch):
     rows = sorted({(i, t) for i, t, *_ in corpus}, key=lambda r: r[0])
     seen, want = {}, {}
     for i, t in rows:
@@ -349,6 +378,7 @@ def test_byte_spans_agree_with_brute_force(docs, corpus, empty):
                 gone[j : j + 50] = True
         spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(b) else 0
         want[i] = (len(b), int(gone.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~gone]))
+    monkeypatch.setattr(bytespans, "CROWDED", crowded)
     for r in bytespans.remove_repeats(docs).collect():
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]]
     assert bytespans.remove_repeats(empty).count() == 0
