@@ -3,9 +3,9 @@
 A byte is removed if a string of 50 bytes that covers it also starts in a document with a smaller id. By the
 steps of ``repeats``:
 
-1. Recurring anchors: every 50-byte window has an anchor, its smallest 24-byte gram (see ``anchors``); anchor
+1. Recurring anchors: every 50-byte window has an anchor, its smallest 20-byte gram (see ``anchors``); anchor
    grams are counted over the corpus. Only windows whose anchor's gram occurs twice can repeat.
-2. Segments: neighbouring windows with one recurring anchor form a segment of at most 76 bytes. Equal strings
+2. Segments: neighbouring windows with one recurring anchor form a segment of at most 80 bytes. Equal strings
    have equal anchors, so a segment's matches are all among its anchor's. An anchor whose segments all have
    one content, by 128 bits, has nothing to compare: the windows repeat at all its places.
 3. Sorting: the distinct segments of the other anchors are dealt by their gram into shards of about
@@ -37,15 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake.llm.anchors import anchor_of, places, runs
-from symlake.llm.common import BYTE_VALUE, CHUNK_BYTES, U64, drop_dir, free_shuffles, gram_hashes, mix, raw, read, released, shared_dir, span_hashes, table, text_chunks
-from symlake.llm.repeats import contents, first_places, keyed, listed, located, marked, recurring, with_first, with_gone
+from symlake.llm.common import BYTE_VALUE, U64, drop_dir, free_shuffles, gram_hashes, mix, raw, read, released, shared_dir, span_hashes, table, text_chunks
+from symlake.llm.repeats import at_spots, contents, keyed, listed, located, marked, recurring, with_gone
 from symlake.llm.suffixes import BLOCK, array, blocks_of, groups, work_folder
 
 WINDOW = 50
-GRAM = 24
+GRAM = 20
 #: Segments of a gram with more contents are cut once more.
 CROWDED = 256
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
+#: Bytes of text that are worked on at once, so that arrays of 8 bytes a place stay in a core's cache.
+BLOCK_BYTES = 1 << 17
 _SECOND = mix(BYTE_VALUE ^ U64(0x2545F4914F6CDD1D))
 SEGMENT = "shard long, gram long, content long, first int, segment binary, low long, high long"
 RANGE = "gram long, content long, first int, stop int, low long"
@@ -65,13 +67,12 @@ class Bytes:
 
 
 def anchor_places(window: int = WINDOW):
-    """The anchors of a block: row, gram and once more the gram."""
+    """The anchors of a block: row and gram."""
 
-    def work(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def work(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         b = Bytes(data, off, window)
         at = places(b.anchor, b.valid)
-        gram = b.grams[at].view(np.int64)
-        return b.row[at], gram, gram
+        return b.row[at], b.grams[at].view(np.int64)
 
     return work
 
@@ -94,19 +95,24 @@ def spans(window: int = WINDOW):
     return work
 
 
-def segments(first: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The bytes of each distinct content, in one piece or, if its gram is crowded, in pieces (SEGMENT)."""
+def segments(wanted: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The bytes of each content wanted, in one piece or, if its gram is crowded, in pieces (SEGMENT).
+
+    A spot that meets the row of another text is known by the content's hash.
+    """
     names = ["shard", "gram", "content", "first", "segment", "low", "high"]
-    crowded = first.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > CROWDED).select("gram", F.lit(True).alias("crowded"))
-    first = first.join(crowded, "gram", "left")
+    crowded = wanted.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > CROWDED).select("gram", F.lit(True).alias("crowded"))
+    wanted = wanted.join(crowded, "gram", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_chunks(batches):
             row, found = listed(part.column("found"))
-            gram, content, low, high, at, starts = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in found.flatten()[:-1])
+            at, gram, content, low, high, starts = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in found.flatten()[:-1])
             again = found.flatten()[-1].fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-            begin = off[row] + at
-            length = starts + window - 1
+            begin, length = off[row] + at, starts + window - 1
+            own = begin + length <= off[row + 1]
+            own[own] = span_hashes(_SECOND[data], begin[own], (begin + length)[own]).view(np.int64) == content[own]
+            gram, content, low, high, again, begin, length = (x[own] for x in (gram, content, low, high, again, begin, length))
             ends = np.cumsum(length)
             text = data[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
             of, lo, hi, shard = cut_again(text, ends - length, ends, gram, again, window)
@@ -115,8 +121,7 @@ def segments(first: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFra
             cols = (shard, gram[of], content[of], (lo - (ends - length)[of]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), seg, pa.array(low[of]), pa.array(high[of])], names=names)
 
-    fields = ["gram", "content", F.col("doc").alias("low"), "high", "at", "starts", "crowded"]
-    return with_first(docs, first, fields).mapInArrow(released(work), SEGMENT)
+    return at_spots(docs, wanted, ["gram", "content", "low", "high", "starts", "crowded"]).mapInArrow(released(work), SEGMENT)
 
 
 def cut_again(text: np.ndarray, begin: np.ndarray, end: np.ndarray, gram: np.ndarray, again: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -154,7 +159,7 @@ def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.nd
         n = off[z.start + 1 : z.stop + 1] - off[z] + 1  # a separator after each segment
         start[z] = end + np.cumsum(n) - n
         end += int(n.sum())
-    t = array(folder, np.uint16, end)
+    t, inside = array(folder, np.uint16, end), array(folder, bool, end)  # inside: where a window starts
     step = max(1, BLOCK >> 6)
     for a in range(0, k, step):
         z = slice(a, min(k, a + step))
@@ -162,6 +167,7 @@ def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.nd
         at = np.repeat(off[z] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         to = np.repeat(start[z] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         t[to] = data[at].astype(np.uint16) + 1
+        inside[to] = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) <= np.repeat(n - window, n)
     hit, low_at = array(folder, bool, end), array(folder, np.int64, end)
 
     def mark(pos: np.ndarray, lo: np.ndarray | int) -> None:
@@ -179,11 +185,11 @@ def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.nd
             waiting.truncate()
 
         for pos, fresh in groups(t, window, folder, **options):
-            seg = np.searchsorted(start, pos, "right") - 1
-            ok = pos - start[seg] + window <= off[seg + 1] - off[seg]  # alike in all of a set
-            pos, fresh, seg = pos[ok], fresh[ok], seg[ok]
+            ok = inside[pos]  # alike in all of a set
+            pos, fresh = pos[ok], fresh[ok]
             if not len(pos):
                 continue
+            seg = np.searchsorted(start, pos, "right") - 1
             cut = np.flatnonzero(np.concatenate(([True], fresh[1:])))
             lo, hi = np.minimum.reduceat(low[seg], cut), np.maximum.reduceat(high[seg], cut)
             if not fresh[0]:
@@ -210,7 +216,7 @@ def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.nd
 def repeated(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """Ranges of starts with their smallest document, by gram and content, of the segments of found."""
     size = found.agg(F.sum(F.length("segment"))).first()[0] or 0
-    n = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    n = max(1, -(-size // SHARD_BYTES))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = work_folder()
@@ -246,11 +252,9 @@ def repeated(found: DataFrame, window: int = WINDOW) -> DataFrame:
 def decisions(docs: DataFrame, found: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
     """Ranges of starts in contents that also begin in another document, and the smallest one (RANGE)."""
     spark = docs.sparkSession
-    grams = contents(found, folder)
-    alone = found.join(grams.where("low = high").select("gram"), "gram").groupBy("gram", "content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("starts").alias("stop"))
-    alone = alone.where("low < high").select("gram", "content", F.lit(0).alias("first"), "stop", "low")
-    first = first_places(found, grams.where("low != high"), folder)
-    pieces = table(spark, segments(first, docs, window), f"{folder}/segments")
+    each = contents(found, folder)
+    alone = each.where("single AND low < high").select("gram", "content", F.lit(0).alias("first"), F.col("starts").alias("stop"), "low")
+    pieces = table(spark, segments(each.where("NOT single"), docs, window), f"{folder}/segments")
     free_shuffles(spark)
     return table(spark, alone.union(repeated(pieces, window)), f"{folder}/decided")
 
@@ -260,10 +264,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_dir(spark, "bytespans")
     docs = keyed(docs)
-    known = recurring(docs, anchor_places(window), folder, CHUNK_BYTES)
-    found = located(docs, known, spans(window), folder, CHUNK_BYTES)
+    known = recurring(docs, anchor_places(window), folder, BLOCK_BYTES)
+    found = located(docs, known, spans(window), folder, BLOCK_BYTES)
     decided = decisions(docs, found, folder, window)
-    for name in ("segments", "first", "contents"):
+    for name in ("segments", "contents"):
         drop_dir(spark, f"{folder}/{name}")
     free_shuffles(spark)
 

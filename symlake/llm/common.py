@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
@@ -27,6 +28,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """name behind underscores, so that no column of a table (taken) is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 # --- shared folder -------------------------------------------------------------------------------
 
 
@@ -52,15 +61,21 @@ def drop_dir(spark: SparkSession, uri: str) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced.
+
+    Twice, as a plan that has just ended is still known to the listeners for a moment.
+    """
+    for pause in (0.3, 0):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
 
 
-def table(spark: SparkSession, df: DataFrame, uri: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet under uri and read it again."""
+def table(spark: SparkSession, df: DataFrame, uri: str, small: bool = False) -> DataFrame:
+    """Cut the lineage: write df as Parquet under uri and read it again; small: there are no shuffles worth freeing."""
     df.write.mode("overwrite").parquet(uri)
-    free_shuffles(spark)
+    if not small:
+        free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(uri)
 
 

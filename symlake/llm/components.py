@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlake.llm.common import table
+from symlake.llm.common import drop_dir, table
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -24,16 +26,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.union(own).where("u != v").distinct()
 
 
-def components(links: DataFrame, folder: str, most: int = 60) -> DataFrame:
-    """(u, v) for every node u of links (u, v: long) that isn't its component's smallest node v."""
+def components(links: DataFrame, folder: str) -> DataFrame:
+    """(u, v) for every node u of links (u, v: long) that isn't its component's smallest node v.
+
+    The steps end when one changes nothing, which is compared link by link.
+    """
     spark = links.sparkSession
     links = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = table(spark, links, f"{folder}/links-0")
-    seen = None
-    for i in range(1, most):
-        links = table(spark, _star(_star(links, True), False), f"{folder}/links-{i}")
-        now = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if tuple(now) == seen:
+    links = table(spark, links, f"{folder}/links-0", small=True)
+    for i in count(1):
+        before, links = links, table(spark, _star(_star(links, True), False), f"{folder}/links-{i}", small=i % 4 > 0)
+        if links.count() == before.count() and not links.join(before, ["u", "v"], "left_anti").take(1):
             return links
-        seen = tuple(now)
-    raise RuntimeError("the components did not settle")
+        drop_dir(spark, f"{folder}/links-{i - 1}")

@@ -3,8 +3,8 @@
 A window is 20 consecutive words. A word is removed if a window that covers it also starts earlier, in a
 document with a smaller id or further up in the same one. By the steps of ``repeats``:
 
-1. Recurring phrases: each window's anchor phrase (6 words, see ``anchors``) is counted over the corpus;
-   those that occur twice or more are sent to the documents that have them.
+1. Recurring phrases: each window's anchor phrase (6 words, see ``anchors``) is looked for over the corpus, by its
+   letters (see 2); those that occur twice or more are sent to the documents that have them.
 2. Sharded automata: for each shard of documents (a block of text) the phrases that were sent to it are
    compiled into an Aho-Corasick automaton, and the shard is streamed through it, once. Only the automaton says
    where phrases occur. A word is one letter there, 8 bits of its hash, so that no node has more than 256
@@ -40,7 +40,7 @@ from symlake.llm.repeats import contents, first_places, keyed, listed, located,
 WINDOW = 20
 PHRASE = 6
 #: Bytes of text (or one document) that share an automaton.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _SECOND = U64(0x5851F42D4C957F2D)
 
 
@@ -80,12 +80,12 @@ def automaton(s: np.ndarray) -> ahocorasick.Automaton:
 
 
 def phrase_places(window: int = WINDOW):
-    """The anchor phrases of a block: row, gram and letters."""
+    """The anchor phrases of a block: row and letters."""
 
-    def work(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def work(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = Words(data, off, window)
         at = places(w.anchor, w.valid)
-        return w.row[at], w.grams[at].view(np.int64), _letters(w.symbols, at)
+        return w.row[at], _letters(w.symbols, at)
 
     return work
 
@@ -131,12 +131,9 @@ def windows(first: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFram
 def decisions(docs: DataFrame, found: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
     """gram, content, first, stop, low, low_at: windows of a content, and where they would begin if they were first."""
     spark = docs.sparkSession
-    grams = contents(found, folder)
-    low = F.min(F.struct("doc", "at")).alias("x")
-    alone = found.join(grams.where("low = high").select("gram"), "gram").groupBy("gram", "content").agg(low, F.max("starts").alias("stop"))
-    alone = alone.select("gram", "content", F.lit(0).alias("first"), "stop", F.col("x.doc").alias("low"), F.col("x.at").alias("low_at"))
-    first = first_places(found, grams.where("low != high"), folder)
-    each = table(spark, windows(first, docs, window), f"{folder}/windows")
+    first = first_places(found, contents(found, folder), folder)
+    alone = first.where("single").select("gram", "content", F.lit(0).alias("first"), F.col("starts").alias("stop"), F.col("doc").alias("low"), F.col("at").alias("low_at"))
+    each = table(spark, windows(first.where("NOT single"), docs, window), f"{folder}/windows")
     free_shuffles(spark)
     least = each.groupBy("w1", "w2").agg(F.min(F.struct("low", "low_at")).alias("x"))
     several = each.select("gram", "content", "first", "w1", "w2").join(least, ["w1", "w2"])

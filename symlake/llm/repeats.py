@@ -2,14 +2,16 @@
 
 Both work on windows, find each window's anchor (``anchors``) and go through these steps:
 
-1. ``recurring``: anchors' grams are counted over the corpus; those that occur twice or more are joined back
-   to the rows that have them.
+1. ``recurring``: anchors' grams are dealt by hash, sorted outside of memory, and those that occur at two places
+   or more of the corpus go back to their rows. A gram that recurs within GROUP places of a task is known to
+   recur there, so of its rows only one is dealt by the gram: frequent grams make no large partition.
 2. ``located``: those rows are read with their recurring grams and cut into segments, runs of neighbouring
    windows with one such anchor. A segment is known by its gram and a hash of its content, 128 bits together,
    and lies at a place of a row.
-3. ``contents``: a gram whose segments all have one content needs no look at windows: every segment but the
-   first repeats, all of it. The segments of other grams are compared by the operator itself, each distinct
-   content once, which it reads at its first place (``first_places``).
+3. ``contents``: places are counted by content, and contents by gram. A gram whose segments all have one content
+   needs no look at windows: every segment but the first repeats, all of it. The segments of other grams are
+   compared by the operator itself, each distinct content once, which it reads at its first place
+   (``first_places``).
 4. ``gone``: what was decided for a content goes to all places that have it, and from there to the rows.
 
 Every step is a shuffle on a hash; nothing is read once per block or task, and no file or broadcast grows with
@@ -21,22 +23,31 @@ repeat an id.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlake.llm.common import drop_dir, free_shuffles, released, table, text_chunks
+from symlake.llm.suffixes import merged, work_folder
 
 #: Null ids count as this one.
 LAST = (1 << 63) - 1
+#: Bits of a place in its row; a place and as many bits of the row as are left make one number.
+AT_BITS = 31
 PLACE = "gram long, content long, doc long, row long, at int, starts int"
 
-#: From a block's bytes and offsets: row, gram and value of each anchor place.
-Places = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-#: From a block's bytes, offsets and recurring values: row, gram, content, first window in the row and number of windows of each segment.
+#: Places of anchors that a task looks at together.
+GROUP = 1 << 19
+
+#: From a block's bytes and offsets: row and gram of each anchor place.
+Places = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: From a block's bytes, offsets and recurring grams: row, gram, content, first window in the row and number of windows of each segment.
 Segments = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 
 
@@ -52,29 +63,100 @@ def listed(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(n)), n), col.flatten()
 
 
+def dealt(gram: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """gram, row, sure of a group's places: once for each gram and row.
+
+    Of a gram with several places all rows are sure, and are dealt by row; one more goes to where the gram is dealt.
+    """
+    order = np.lexsort((row, gram))
+    gram, row = gram[order], row[order]
+    new = np.concatenate(([True], gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, bool)
+    n = np.diff(np.append(np.flatnonzero(new), len(gram)))
+    sure = np.repeat(n > 1, n)
+    once = new | (np.concatenate(([True], row[1:] != row[:-1])) if len(row) else new)
+    again = sure & once
+    return np.concatenate((gram[new], gram[again])), np.concatenate((row[new], row[again])), np.concatenate((np.zeros(int(new.sum()), bool), np.ones(int(again.sum()), bool)))
+
+
+def repeated(pairs: Iterator[tuple[np.ndarray, np.ndarray]], folder: str, **options: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of (gram, row) those whose gram comes twice or more, by an external sort."""
+    held: tuple[np.ndarray, np.ndarray] | None = None  # the last entry, and whether it has been passed on
+    for block in merged(pairs, folder, **options):
+        gram, row = block[:, 0], block[:, 1]
+        more = np.zeros(len(gram), bool)
+        same = gram[1:] == gram[:-1]
+        more[1:] |= same
+        more[:-1] |= same
+        if held is not None and held[0] == gram[0]:
+            more[0] = True
+            if not held[2]:
+                yield np.array([held[0]]), np.array([held[1]])
+        yield gram[more], row[more]
+        held = int(gram[-1]), int(row[-1]), bool(more[-1])
+
+
 def recurring(docs: DataFrame, places: Places, folder: str, limit: int) -> DataFrame:
-    """row, known: the values of the grams in a row that occur at two places or more of the corpus."""
-    spark = docs.sparkSession
+    """row, known: the grams in a row that occur at two places or more of the corpus."""
+    names = ["gram", "row", "sure"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, off in text_chunks(batches, limit=limit):
-            _, gram, value = places(data, off)
-            gram, first, n = np.unique(gram, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(value[first]), pa.array(n.astype(np.int64))], names=["gram", "value", "n"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, rows, n = [], [], 0
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in text_chunks(batches, limit=limit):
-            row, gram, _ = places(data, off)
-            order = np.lexsort((gram, row))
-            row, gram = row[order], gram[order]
-            new = np.concatenate(([True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]))) if len(row) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[new]), part.column("row").take(pa.array(row[new]))], names=["gram", "row"])
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in dealt(np.concatenate(grams), np.concatenate(rows))], names=names)
+            grams.clear()
+            rows.clear()
+            return out
 
-    found = docs.select("text").mapInArrow(released(count), "gram long, value long, n long")
-    found = found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("value").alias("value")).where("n > 1").select("gram", "value")
-    found = table(spark, found, f"{folder}/recurring")
-    mine = docs.select("row", "text").mapInArrow(released(each), "gram long, row long")
-    return table(spark, mine.join(found, "gram").groupBy("row").agg(F.collect_list("value").alias("known")), f"{folder}/known")
+        for part, data, off in text_chunks(batches, limit=limit):
+            row, gram = places(data, off)
+            grams.append(gram)
+            rows.append(part.column("row").to_numpy()[row])
+            n += len(row)
+            if n >= GROUP:
+                yield flush()
+                n = 0
+        if grams:
+            yield flush()
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = work_folder()
+        known: list[pa.RecordBatch] = []
+
+        def unsure() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in batches:
+                sure = b.column("sure")
+                known.append(b.filter(sure).select(["row", "gram"]))
+                rest = b.filter(pc.invert(sure))
+                yield rest.column("gram").to_numpy(), rest.column("row").to_numpy()
+
+        try:
+            yield from sent(unsure(), known, work)
+        finally:
+            shutil.rmtree(work, ignore_errors=True)
+
+    def sent(pairs: Iterator[tuple[np.ndarray, np.ndarray]], known: list[pa.RecordBatch], work: str) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile(dir=work) as f:  # sure rows wait there while the others are sorted
+
+            def waiting() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for gram, row in pairs:
+                    for b in known:
+                        f.write(np.stack((b.column("row").to_numpy(), b.column("gram").to_numpy()), 1).tobytes())
+                    known.clear()
+                    yield gram, row
+
+            for gram, row in repeated(waiting(), work):
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(row)), pa.array(np.ascontiguousarray(gram))], names=["row", "gram"])
+            f.seek(0)
+            while block := f.read(1 << 20):
+                x = np.frombuffer(block, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["row", "gram"])
+
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = docs.select("row", "text").mapInArrow(released(deal), "gram long, row long, sure boolean")
+    found = found.repartition(n, F.when(F.col("sure"), F.col("row")).otherwise(F.col("gram"))).mapInArrow(released(twice), "row long, gram long")
+    return table(docs.sparkSession, found.groupBy("row").agg(F.collect_list("gram").alias("known")), f"{folder}/known")
 
 
 def located(docs: DataFrame, known: DataFrame, segments: Segments, folder: str, limit: int) -> DataFrame:
@@ -91,22 +173,37 @@ def located(docs: DataFrame, known: DataFrame, segments: Segments, folder: str,
 
     here = docs.join(known.hint("shuffle_hash"), "row").select("doc", "row", "text", "known")
     out = table(docs.sparkSession, here.mapInArrow(released(cut), PLACE), f"{folder}/places")
-    drop_dir(docs.sparkSession, f"{folder}/recurring")
     drop_dir(docs.sparkSession, f"{folder}/known")
     return out
 
 
 def contents(places: DataFrame, folder: str) -> DataFrame:
-    """gram, n (places), low and high (contents) of each gram with two places or more."""
-    found = places.groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-    return table(places.sparkSession, found.where("n > 1"), f"{folder}/contents")
+    """gram, content, low and high (documents), starts, a spot, and single: whether the gram has no other content.
+
+    Without contents that have one place and no other beside them. A spot is one of the content's places: the first
+    33 bits of the row, and where in the row.
+    """
+    spot = F.shiftleft(F.shiftright("row", AT_BITS), AT_BITS).bitwiseOR(F.col("at").cast("long"))
+    each = places.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("starts").alias("starts"), F.min(spot).alias("spot"))
+    each = table(places.sparkSession, each, f"{folder}/each")
+    grams = each.groupBy("gram").agg(F.sum("n").alias("m"), F.min("content").alias("c1"), F.max("content").alias("c2")).where("m > 1").select("gram", (F.col("c1") == F.col("c2")).alias("single"))
+    out = table(places.sparkSession, each.drop("n").join(grams.hint("shuffle_hash"), "gram"), f"{folder}/contents")
+    drop_dir(places.sparkSession, f"{folder}/each")
+    return out
+
+
+def first_places(places: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
+    """wanted (gram, content, low, ...) with the first place of each content: doc, at, row, starts."""
+    at = places.withColumnRenamed("doc", "low").select("gram", "content", "low", F.struct("at", "row", "starts").alias("x"))
+    first = wanted.drop("starts").hint("shuffle_hash").join(at, ["gram", "content", "low"]).groupBy("gram", "content", "low").agg(F.min("x").alias("x"), F.first("high").alias("high"), F.first("single").alias("single"))
+    return table(places.sparkSession, first.select("gram", "content", F.col("low").alias("doc"), "high", "single", "x.*"), f"{folder}/first")
 
 
-def first_places(places: DataFrame, grams: DataFrame, folder: str) -> DataFrame:
-    """gram, content, doc, at, row, starts of the first place, and the last document, of each content of the grams."""
-    mine = places.join(grams.select("gram"), "gram")
-    found = mine.groupBy("gram", "content").agg(F.min(F.struct("doc", "at", "row", "starts")).alias("x"), F.max("doc").alias("high"))
-    return table(places.sparkSession, found.select("gram", "content", "x.*", "high"), f"{folder}/first")
+def at_spots(docs: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
+    """The rows of docs whose first bits some spots have, with a list of those spots (at and fields); a spot may meet more rows than its own."""
+    bits = F.shiftright("spot", AT_BITS)
+    by_row = wanted.groupBy(bits.alias("bits")).agg(F.collect_list(F.struct(F.col("spot").bitwiseAND((1 << AT_BITS) - 1).alias("at"), *fields)).alias("found"))
+    return docs.withColumn("bits", F.shiftright("row", AT_BITS)).join(by_row.hint("shuffle_hash"), "bits").select("text", "found")
 
 
 def with_first(docs: DataFrame, first: DataFrame, fields: list[str]) -> DataFrame:
@@ -120,7 +217,7 @@ def with_gone(docs: DataFrame, places: DataFrame, decided: DataFrame, later: Col
 
     decided: gram, content, first, stop (windows of the content) and what ``later`` compares with a place.
     """
-    hit = places.join(decided, ["gram", "content"]).where(later)
+    hit = places.join(decided.hint("shuffle_hash"), ["gram", "content"]).where(later)
     hit = hit.groupBy("doc", "row").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("stop")).alias("z"))).alias("gone"))
     hit = table(docs.sparkSession, hit, f"{folder}/gone")
     drop_dir(docs.sparkSession, f"{folder}/places")

@@ -183,7 +183,7 @@ def doubling(s: np.ndarray) -> np.ndarray:
         nxt = np.full(n, -1)
         nxt[: max(0, n - k)] = rank[k:]
         key = (rank + 1) * (n + 2) + nxt + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
@@ -269,8 +269,8 @@ class SuffixSorter:
             if self.limit:
                 np.minimum(least, low, out=least)
             return
-        c = self.t[left[at]].astype(np.int64)
-        order = np.argsort(c, kind="stable")
+        c = self.t[left[at]]
+        order = np.argsort(c, kind="stable")  # by digits, for two bytes
         c, at = c[order], at[order]
         cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1], [True])))
         before = least.copy() if self.limit else least
@@ -345,7 +345,7 @@ class SuffixSorter:
         out, free = array(self.folder, np.int64, len(self.seeds)), self.bounds[:-1].copy()
         for z in blocks_of(len(self.seeds)):
             c = np.searchsorted(self.alphabet, self.t[self.seeds[z]])
-            order = np.argsort(c, kind="stable")
+            order = np.argsort(c.astype(np.uint16) if len(free) < 1 << 16 else c, kind="stable")
             c, n = c[order], np.bincount(c, minlength=len(free))
             out[free[c] + np.arange(len(c)) - (np.cumsum(n) - n)[c]] = self.seeds[z][order]
             free += n

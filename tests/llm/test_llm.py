@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from symlake.llm import anchors, bytespans, common, decontam, langid, minhash, mixing, phrases, suffixes, tokens, toxicity, vectors, warc
+from symlake.llm import anchors, bytespans, common, decontam, langid, minhash, mixing, phrases, repeats, suffixes, tokens, toxicity, vectors, warc
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size string, __size string"
 
@@ -205,11 +205,26 @@ def test_the_automaton_locates_phrases():
     word = lambda: rng.choice("abcdefgh") + rng.choice("abcdefgh")
     text = [" ".join(word() for _ in range(400)).encode() for _ in range(3)]
     data, off = np.frombuffer(b"".join(text), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in text])))
-    row, gram, letters = phrases.phrase_places()(data, off)
-    pick = np.arange(len(letters)) % 3 == 0
-    got_row, got_gram, _, at, starts = phrases.passages()(data, off, np.unique(letters[pick]))
-    assert set(gram[pick].tolist()) <= set(got_gram.tolist()) and set(got_gram.tolist()) <= set(gram[np.isin(letters, letters[pick])].tolist())
-    assert len(phrases.passages()(data, off, np.zeros(0, np.int64))[0]) == 0 and (starts > 0).all() and set(got_row.tolist()) <= {0, 1, 2} and (at >= 0).all()
+    w = phrases.Words(data, off, 20)
+    row, letters = phrases.phrase_places()(data, off)
+    pick = np.unique(letters)[::3]
+    got_row, gram, _, at, starts = phrases.passages()(data, off, pick)
+    place = anchors.places(w.anchor, w.valid)
+    assert set(gram.tolist()) == set(w.grams[place[np.isin(letters, pick)]].view(np.int64).tolist())
+    assert len(phrases.passages()(data, off, pick[:0])[0]) == 0 and (starts > 0).all() and set(got_row.tolist()) <= {0, 1, 2} and (at >= 0).all()
+
+
+def test_recurring_grams(tmp_path):
+    rng = np.random.default_rng(7)
+    gram, row = rng.integers(0, 400, 900), rng.integers(0, 30, 900)
+    gram[:200] = 7  # a frequent one
+    want = {(g, r) for g, r in zip(gram.tolist(), row.tolist(), strict=True) if (gram == g).sum() > 1}
+    groups = [repeats.dealt(gram[i : i + 100], row[i : i + 100]) for i in range(0, 900, 100)]
+    sure = {(g, r) for g, r, s in zip(*(np.concatenate(c).tolist() for c in zip(*groups, strict=True)), strict=True) if s}
+    unsure = ((g[~s], r[~s]) for g, r, s in groups)
+    got = {(g, r) for a, b in repeats.repeated(unsure, str(tmp_path), memory=64) for g, r in zip(a.tolist(), b.tolist(), strict=True)}
+    assert sure | got == want
+    assert sum((g[~s] == 7).sum() for g, _, s in groups) <= len(groups)
 
 
 def test_memory_of_a_shard_does_not_grow_with_it(monkeypatch, tmp_path):
@@ -265,12 +280,38 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == comp
 
 
+def test_texts_that_share_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    rows = [(1, a, 0), (1, b, 1), (2, a + " tail", 2), (3, b + " tail", 3), (4, "other words here", 4), (4, "other words here", 4), (5, "", 5), (None, a, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int").repartition(4)
+    got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, 3, 85).collect())
+    assert got == [(0, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True)]
+    assert sorted((r["id"] for r in minhash.dedup(docs, 3, 85).collect())) == [0, 1, 4, 5, 6]
+
+
+def test_verify_deals_the_mates_of_a_text(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "MATES", 3)
+    texts = [(i, " ".join(f"w{j}" for j in range(100 - i))) for i in range(40)]
+    pairs = spark.createDataFrame([(a, b) for a in (0, 7) for b in range(40) if a != b], "a long, b long")
+    got = {(r["a"], r["b"]) for r in minhash.verify(pairs, spark.createDataFrame(texts, "node long, text string"), 3, 85).collect()}
+    assert got == {(a, b) for a in (0, 7) for b in range(40) if a != b and 100 * (98 - max(a, b)) >= 85 * (98 - min(a, b))}
+
+
+def test_agreement_bound():
+    assert minhash.least_agreement(160, 85) < 0.85 * 160 and minhash.least_agreement(160, 85) > 0.55 * 160
+    rng = np.random.default_rng(5)
+    for n in (7, 40, 400):
+        s = rng.integers(0, 2**63, n + n // 7 + 1).astype(np.uint64)
+        a, b = minhash.sketch(s[: -(n // 14) - 1], 160), minhash.sketch(s[n // 14 :], 160)
+        assert (a == b).sum() >= minhash.least_agreement(160, 80)
+
+
 def test_prefixes_meet_for_every_link(spark):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choice(base) if rng.random() < 0.03 else x for x in base[: 60 - i % 4])) for i in range(60)]
     sets, _ = jaccard_components([(*r, None, None) for r in rows], 3, 85)
-    found = minhash.prefixes(spark.createDataFrame([*rows, (90, None), (91, "one")], "doc_id long, text string"), 3, 85).collect()
+    found = minhash.prefixes(spark.createDataFrame([*rows, (90, None), (91, "one")], "node long, text string"), 3, 85).collect()
     first = {}
     for r in found:
         first.setdefault(r["node"], {})[r["g"]] = (r["at"], r["n"])
