@@ -45,7 +45,7 @@ WINDOW = 50
 GRAM = 20
 #: Segments of a gram with more contents are cut once more.
 CROWDED = 256
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of text that are worked on at once, so that arrays of 8 bytes a place stay in a core's cache.
 BLOCK_BYTES = 1 << 17
 _SECOND = mix(BYTE_VALUE ^ U64(0x2545F4914F6CDD1D))
