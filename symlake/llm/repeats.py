@@ -68,14 +68,30 @@ def dealt(gram: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
 
     Of a gram with several places all rows are sure, and are dealt by row; one more goes to where the gram is dealt.
     """
-    order = np.lexsort((row, gram))
+    order = np.argsort(gram)
     gram, row = gram[order], row[order]
-    new = np.concatenate(([True], gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, bool)
-    n = np.diff(np.append(np.flatnonzero(new), len(gram)))
-    sure = np.repeat(n > 1, n)
-    once = new | (np.concatenate(([True], row[1:] != row[:-1])) if len(row) else new)
-    again = sure & once
-    return np.concatenate((gram[new], gram[again])), np.concatenate((row[new], row[again])), np.concatenate((np.zeros(int(new.sum()), bool), np.ones(int(again.sum()), bool)))
+    same = gram[1:] == gram[:-1]
+    several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    alone = ~several
+    g, r = gram[several], row[several]
+    order = np.lexsort((r, g))
+    g, r = g[order], r[order]
+    new = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
+    once = new | np.concatenate(([True], r[1:] != r[:-1])) if len(g) else new
+    return (
+        np.concatenate((gram[alone], g[new], g[once])),
+        np.concatenate((row[alone], r[new], r[once])),
+        np.concatenate((np.zeros(int(alone.sum() + new.sum()), bool), np.ones(int(once.sum()), bool))),
+    )
+
+
+def by_row(row: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+    """row, grams: the grams of each row in a list."""
+    order = np.argsort(row)
+    row, gram = row[order], gram[order]
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(gram))
+    return pa.RecordBatch.from_arrays([pa.array(row[first]), lists], names=["row", "grams"])
 
 
 def repeated(pairs: Iterator[tuple[np.ndarray, np.ndarray]], folder: str, **options: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,16 +163,15 @@ def recurring(docs: DataFrame, places: Places, folder: str, limit: int) -> DataF
 
             for gram, row in repeated(waiting(), work):
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(row)), pa.array(np.ascontiguousarray(gram))], names=["row", "gram"])
+                    yield by_row(row, gram)
             f.seek(0)
-            while block := f.read(1 << 20):
-                x = np.frombuffer(block, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["row", "gram"])
+            while block := f.read(GROUP * 16):
+                yield by_row(*np.frombuffer(block, np.int64).reshape(-1, 2).T)
 
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = docs.select("row", "text").mapInArrow(released(deal), "gram long, row long, sure boolean")
-    found = found.repartition(n, F.when(F.col("sure"), F.col("row")).otherwise(F.col("gram"))).mapInArrow(released(twice), "row long, gram long")
-    return table(docs.sparkSession, found.groupBy("row").agg(F.collect_list("gram").alias("known")), f"{folder}/known")
+    found = found.repartition(n, F.when(F.col("sure"), F.col("row")).otherwise(F.col("gram"))).mapInArrow(released(twice), "row long, grams array<long>")
+    return table(docs.sparkSession, found.groupBy("row").agg(F.flatten(F.collect_list("grams")).alias("known")), f"{folder}/known")
 
 
 def located(docs: DataFrame, known: DataFrame, segments: Segments, folder: str, limit: int) -> DataFrame:

@@ -174,8 +174,8 @@ def types_of(t: np.ndarray, folder: str | None = None) -> np.ndarray:
     return out
 
 
-def doubling(s: np.ndarray) -> np.ndarray:
-    """The suffixes of a short string in order."""
+def doubling(s: np.ndarray, most: int = 0) -> np.ndarray:
+    """The suffixes of a short string in order; with ``most`` by as many names at least, those alike in any order."""
     n = len(s)
     rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
     k = 1
@@ -187,12 +187,12 @@ def doubling(s: np.ndarray) -> np.ndarray:
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
-        if n < 2 or rank[order[-1]] == n - 1:
-            return order
         k *= 2
+        if n < 2 or rank[order[-1]] == n - 1 or 0 < most <= k:
+            return order
 
 
-def doubling_in_files(rank: np.ndarray, folder: str | None, memory: int) -> np.ndarray:
+def doubling_in_files(rank: np.ndarray, folder: str | None, memory: int, most: int = 0) -> np.ndarray:
     """The same of a string of names in which no number up to the greatest is left out; overwrites it."""
     n, k = len(rank), 1
     order = array(folder, np.int64, n)
@@ -212,9 +212,9 @@ def doubling_in_files(rank: np.ndarray, folder: str | None, memory: int) -> np.n
             names = name + np.cumsum(np.concatenate(([key[0] != last], key[1:] != key[:-1])))
             rank[pos] = names
             at, name, last = at + len(pos), int(names[-1]), int(key[-1])
-        if name == n - 1:
-            return order
         k *= 2
+        if name == n - 1 or 0 < most <= k:
+            return order
 
 
 def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
@@ -232,7 +232,11 @@ def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarra
 
 
 class SuffixSorter:
-    """The suffixes of t (non-negative integers), in descending order, with common prefixes up to limit."""
+    """The suffixes of t (non-negative integers), in descending order, with common prefixes up to limit.
+
+    With a limit, suffixes that share as many symbols may come in any order: a name stands for two symbols at least,
+    so seeds are told apart by limit names, and what they induce is in order as far as that reaches.
+    """
 
     def __init__(self, t: np.ndarray, limit: int = 0, folder: str | None = None, base: int = BASE, memory: int = MEMORY):
         self.t, self.limit, self.folder, self.base, self.memory = t, limit, folder, base, memory
@@ -387,8 +391,8 @@ class SuffixSorter:
         if name == m - 1:
             return order
         if m <= self.base:
-            return seeds[doubling(string)]
-        by_rank = doubling_in_files(string, self.folder, self.memory)
+            return seeds[doubling(string, self.limit)]
+        by_rank = doubling_in_files(string, self.folder, self.memory, self.limit)
         for z in blocks_of(m):
             order[z] = seeds[by_rank[z]]
         return order
