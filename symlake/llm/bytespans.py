@@ -160,6 +160,7 @@ def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.nd
         start[z] = end + np.cumsum(n) - n
         end += int(n.sum())
     t, inside = array(folder, np.uint16, end), array(folder, bool, end)  # inside: where a window starts
+    segment = array(folder, np.int32, end)  # of each place
     step = max(1, BLOCK >> 6)
     for a in range(0, k, step):
         z = slice(a, min(k, a + step))
@@ -167,6 +168,7 @@ def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.nd
         at = np.repeat(off[z] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         to = np.repeat(start[z] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         t[to] = data[at].astype(np.uint16) + 1
+        segment[to] = np.repeat(np.arange(z.start, z.stop), n)
         inside[to] = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) <= np.repeat(n - window, n)
     hit, low_at = array(folder, bool, end), array(folder, np.int64, end)
 
@@ -189,7 +191,7 @@ def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.nd
             pos, fresh = pos[ok], fresh[ok]
             if not len(pos):
                 continue
-            seg = np.searchsorted(start, pos, "right") - 1
+            seg = segment[pos]
             cut = np.flatnonzero(np.concatenate(([True], fresh[1:])))
             lo, hi = np.minimum.reduceat(low[seg], cut), np.maximum.reduceat(high[seg], cut)
             if not fresh[0]:
@@ -206,7 +208,7 @@ def shard_ranges(data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.nd
     for z in blocks_of(end):
         pos = np.flatnonzero(hit[z]) + z.start
         if len(pos):
-            lo, seg = low_at[pos], np.searchsorted(start, pos, "right") - 1
+            lo, seg = low_at[pos], segment[pos]
             at = pos - start[seg]
             new = np.flatnonzero(np.concatenate(([True], (pos[1:] != pos[:-1] + 1) | (lo[1:] != lo[:-1]))))
             last = np.append(new[1:] - 1, len(pos) - 1)

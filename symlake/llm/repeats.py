@@ -85,15 +85,6 @@ def dealt(gram: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
     )
 
 
-def by_row(row: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
-    """row, grams: the grams of each row in a list."""
-    order = np.argsort(row)
-    row, gram = row[order], gram[order]
-    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(gram))
-    return pa.RecordBatch.from_arrays([pa.array(row[first]), lists], names=["row", "grams"])
-
-
 def repeated(pairs: Iterator[tuple[np.ndarray, np.ndarray]], folder: str, **options: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of (gram, row) those whose gram comes twice or more, by an external sort."""
     held: tuple[np.ndarray, np.ndarray] | None = None  # the last entry, and whether it has been passed on
@@ -163,15 +154,16 @@ def recurring(docs: DataFrame, places: Places, folder: str, limit: int) -> DataF
 
             for gram, row in repeated(waiting(), work):
                 if len(row):
-                    yield by_row(row, gram)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(row)), pa.array(np.ascontiguousarray(gram))], names=["row", "gram"])
             f.seek(0)
-            while block := f.read(GROUP * 16):
-                yield by_row(*np.frombuffer(block, np.int64).reshape(-1, 2).T)
+            while block := f.read(1 << 20):
+                x = np.frombuffer(block, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["row", "gram"])
 
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = docs.select("row", "text").mapInArrow(released(deal), "gram long, row long, sure boolean")
-    found = found.repartition(n, F.when(F.col("sure"), F.col("row")).otherwise(F.col("gram"))).mapInArrow(released(twice), "row long, grams array<long>")
-    return table(docs.sparkSession, found.groupBy("row").agg(F.flatten(F.collect_list("grams")).alias("known")), f"{folder}/known")
+    found = found.repartition(n, F.when(F.col("sure"), F.col("row")).otherwise(F.col("gram"))).mapInArrow(released(twice), "row long, gram long")
+    return table(docs.sparkSession, found.groupBy("row").agg(F.collect_list("gram").alias("known")), f"{folder}/known")
 
 
 def located(docs: DataFrame, known: DataFrame, segments: Segments, folder: str, limit: int) -> DataFrame:
@@ -228,12 +220,12 @@ def with_first(docs: DataFrame, first: DataFrame, fields: list[str]) -> DataFram
 
 
 def with_gone(docs: DataFrame, places: DataFrame, decided: DataFrame, later: Column, folder: str) -> DataFrame:
-    """docs with column gone: a list of (a, z), the first and one past the last window of runs that are removed.
+    """docs with column gone: a list of numbers, the first and, in the lower half, one past the last window of runs that are removed.
 
     decided: gram, content, first, stop (windows of the content) and what ``later`` compares with a place.
     """
     hit = places.join(decided.hint("shuffle_hash"), ["gram", "content"]).where(later)
-    hit = hit.groupBy("doc", "row").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("stop")).alias("z"))).alias("gone"))
+    hit = hit.groupBy("doc", "row").agg(F.collect_list(F.shiftleft((F.col("at") + F.col("first")).cast("long"), 32).bitwiseOR((F.col("at") + F.col("stop")).cast("long"))).alias("gone"))
     hit = table(docs.sparkSession, hit, f"{folder}/gone")
     drop_dir(docs.sparkSession, f"{folder}/places")
     free_shuffles(docs.sparkSession)
@@ -245,7 +237,8 @@ def marked(part: pa.RecordBatch, base: np.ndarray, size: int, window: int) -> np
     delta = np.zeros(size + 1, np.int64)
     row, runs = listed(part.column("gone"))
     if len(row):
-        a, z = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in runs.flatten())
+        both = runs.to_numpy()
+        a, z = both >> 32, both & 0xFFFFFFFF
         np.add.at(delta, base[row] + a, 1)
         np.add.at(delta, base[row] + z - 1 + window, -1)
     return np.cumsum(delta[:-1]) > 0

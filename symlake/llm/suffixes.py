@@ -220,13 +220,26 @@ def doubling_in_files(rank: np.ndarray, folder: str | None, memory: int, most: i
 def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Common prefixes of the suffixes a and b, at most limit."""
     out = np.zeros(len(a), np.int64)
-    at = np.flatnonzero((a >= 0) & (b >= 0))
-    n = len(t)
-    for k in range(limit):
-        at = at[(a[at] + k < n) & (b[at] + k < n)]
+    at = np.flatnonzero((a >= 0) & (b >= 0)) if limit else np.zeros(0, np.int64)
+    n, stop = len(t), np.full(len(a), limit)
+    if t.dtype == np.uint16 and n > 3 and t.flags.c_contiguous:  # four symbols at once, then those of the last four
+        four = np.ndarray((n - 3,), np.uint64, t, 0, (2,))
+        live, x, y = at, a[at], b[at]
+        for k in range(0, limit, 4):
+            ok = (x + k < n - 3) & (y + k < n - 3)
+            live, x, y = live[ok], x[ok], y[ok]
+            same = four[x + k] == four[y + k]
+            live, x, y = live[same], x[same], y[same]
+            if not len(live):
+                break
+            out[live] = min(k + 4, limit)
+        at = at[out[at] < limit]
+        stop = np.minimum(out + 4, limit)
+    while len(at):
+        k = out[at]
+        more = (k < stop[at]) & (a[at] + k < n) & (b[at] + k < n)
+        at, k = at[more], k[more]
         at = at[t[a[at] + k] == t[b[at] + k]]
-        if not len(at):
-            break
         out[at] += 1
     return out
 
@@ -246,9 +259,11 @@ class SuffixSorter:
             alphabet = np.union1d(alphabet, t[z])
         self.alphabet, self.symbols = alphabet, alphabet.tolist()
         self.spot = {c: i for i, c in enumerate(self.symbols)}
+        self.spots = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) and alphabet[-1] < 1 << 16 else 0, np.uint16)
+        self.spots[alphabet[: len(alphabet) if len(self.spots) else 0]] = np.arange(len(alphabet) if len(self.spots) else 0)
         count = np.zeros(len(alphabet), np.int64)
         for seeds in self._found():
-            count += np.bincount(np.searchsorted(alphabet, t[seeds]), minlength=len(alphabet))
+            count += np.bincount(self._spots(t[seeds]), minlength=len(alphabet))
         self.bounds = np.concatenate(([0], np.cumsum(count)))  # of the seeds of each symbol
         self.seeds = array(folder, np.int64, int(self.bounds[-1]))
         at = 0
@@ -256,6 +271,10 @@ class SuffixSorter:
             self.seeds[at : at + len(seeds)] = seeds
             at += len(seeds)
 
+    def _spots(self, c: np.ndarray) -> np.ndarray:
+        """The symbols' indexes in the alphabet."""
+        return self.spots[c] if len(self.spots) else np.searchsorted(self.alphabet, c)
+
     def _found(self) -> Iterator[np.ndarray]:
         """The seeds in ascending order of place."""
         for z in blocks_of(len(self.t), 1):
@@ -348,8 +367,8 @@ class SuffixSorter:
         """The seeds by their first symbol and, among equal ones, by place."""
         out, free = array(self.folder, np.int64, len(self.seeds)), self.bounds[:-1].copy()
         for z in blocks_of(len(self.seeds)):
-            c = np.searchsorted(self.alphabet, self.t[self.seeds[z]])
-            order = np.argsort(c.astype(np.uint16) if len(free) < 1 << 16 else c, kind="stable")
+            c = self._spots(self.t[self.seeds[z]])
+            order = np.argsort(c, kind="stable")
             c, n = c[order], np.bincount(c, minlength=len(free))
             out[free[c] + np.arange(len(c)) - (np.cumsum(n) - n)[c]] = self.seeds[z][order]
             free += n
@@ -370,9 +389,12 @@ class SuffixSorter:
             order[end - len(pos) : end] = pos[::-1]
             end -= len(pos)
         string, name = array(self.folder, np.int64, m), -1
+        index_of = array(self.folder, np.int64 if m >= 1 << 31 else np.int32, len(t))
+        for z in blocks_of(m):
+            index_of[seeds[z]] = np.arange(z.start, z.stop)
         for z in blocks_of(m):
             o = order[max(0, z.start - 1) : z.stop]  # with the one before
-            index = np.searchsorted(seeds, o)
+            index = index_of[o].astype(np.int64)
             length = np.where(index < m - 1, seeds[np.minimum(index + 1, m - 1)], len(t)) - o
             same = np.zeros(len(o), bool)
             pair = np.flatnonzero((length[1:] == length[:-1]) & (index[1:] != m - 1) & (index[:-1] != m - 1)) + 1
