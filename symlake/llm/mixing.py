@@ -9,7 +9,7 @@ what is gathered for a source is two histograms, whatever its share of the rows.
 
 Defined cases: null or empty text has size 0 and takes 0; a null source is a source of its own, last in
 order; rows with one id (null ids too) share a hash, so they are taken together; an empty table gives no
-rows; other columns of the input are kept by ``copies`` and ignored by ``mix``.
+rows; other columns of the input, whatever their names, are kept by ``copies`` and ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symlake.llm.common import drop_dir, read, shared_dir, table
+from symlake.llm.common import free, read, shared_dir, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -97,8 +97,8 @@ def thresholds(sized: DataFrame, goal: DataFrame) -> DataFrame:
 
 def plan(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES
-) -> tuple[DataFrame, DataFrame, str]:
-    """The sized rows, the small table of sources with targets and thresholds, and the folder they lie in."""
+) -> tuple[DataFrame, DataFrame, bool]:
+    """The sized rows, the table of sources with targets and thresholds, and whether it is small enough to broadcast."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "mix")
     sized = docs.select(
@@ -112,7 +112,7 @@ def plan(
         rows.append((source, n, target, full, target - full * n if full < passes else 0.0))
     goal = spark.createDataFrame(rows, "__source string, __size_all long, __target double, __full int, __rest double")
     cuts = table(spark, thresholds(sized, goal), f"{folder}/cuts")
-    return sized, F.broadcast(cuts) if len(rows) <= BROADCAST_SOURCES else cuts, folder
+    return sized, cuts, len(rows) <= BROADCAST_SOURCES
 
 
 def _passes(cuts: DataFrame, cell: Column) -> Column:
@@ -121,7 +121,8 @@ def _passes(cuts: DataFrame, cell: Column) -> Column:
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs (doc_id, text, source)."""
-    sized, cuts, _ = plan(docs, weights, share, passes)
+    sized, cuts, small = plan(docs, weights, share, passes)
+    cuts = F.broadcast(cuts) if small else cuts
     n = _passes(cuts, F.shiftright(sized["__hash"], 32 - 2 * BITS))
     return sized.join(cuts, sized["__source"].eqNullSafe(cuts["__source"])).select(
         F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__size_all").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * n).cast("long").alias("taken")
@@ -130,16 +131,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it, with its own columns."""
-    _, cuts, _ = plan(docs, weights, share, passes)
+    _, cuts, small = plan(docs, weights, share, passes)
     kept = docs.columns
+    source, full, below, n, each = (free(c, kept) for c in ("source", "full", "below", "passes", "each"))
+    cuts = cuts.select(F.col("__source").alias(source), F.col("__full").alias(full), F.col("__below").alias(below))
     cell = F.shiftright(row_hash(docs["doc_id"]), 32 - 2 * BITS)
-    out = docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts["__source"]))
-    return (
-        out.withColumn("__passes", _passes(cuts, cell))
-        .where("__passes > 0")
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__passes"))))
-        .select(*[docs[c] for c in kept])
-    )
+    out = docs.join(F.broadcast(cuts) if small else cuts, docs["source"].cast("string").eqNullSafe(cuts[source]))
+    out = out.withColumn(n, F.col(full) + F.when(cell < F.col(below), 1).otherwise(0)).where(F.col(n) > 0)
+    return out.withColumn(each, F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*kept)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
