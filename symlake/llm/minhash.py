@@ -6,7 +6,7 @@ the round, and each bin keeps the least; rounds t + j put all shingles into bin
 fills. Most sets are done after one or two rounds, which is why sketching takes O(n + t log t) instead of
 O(n t), and the share of equal coordinates concentrates around the Jaccard similarity.
 
-Documents with equal sets form a class, whose smallest id stands for it. Sketches are cut into bands of
+Documents with equal sets form a class, in which one text stands for all. Sketches are cut into bands of
 r coordinates; documents that agree in a band meet in its bucket. Nothing emits all pairs of a bucket:
 
 1. the most popular member of each bucket is compared with the others on full sets, and the components of
@@ -19,13 +19,17 @@ r coordinates; documents that agree in a band meet in its bucket. Nothing emits
    shingle so early in both that enough are left for the intersection. The order takes its counts from
    2^SLOTS sums of fixed size; any order that is the same everywhere is exact, a good one makes few pairs.
 
-Similarity is verified on whole sets of 64-bit shingle hashes. A link of similarity s agrees in no band
-with probability (1 - s^r)^b: 2e-13 at 0.85, 7e-10 at 0.8.
+A pair is compared on full sets if its sketches agree in as many of the t coordinates as sets of the wanted
+similarity do but with a chance of 1e-12 (the concentration bound), so that pairs that share a passage and
+little else cost 2 t bytes; similarity is then verified on whole sets of 64-bit shingle hashes. A link of
+similarity s agrees in no band with probability (1 - s^r)^b: 2e-13 at 0.85, 7e-10 at 0.8. The texts of classes
+that share a bucket with another are written once, by class, and only they travel again.
 
 Defined cases: with fewer than k words the whole sequence is the one shingle; without words or text the
 set is empty and linked with nothing; rows with a null doc_id are linked with nothing, have a null
-component and are kept; rows that share a doc_id are one node; other columns are ignored (``op3``) or
-kept (``dedup``); an empty table gives no rows.
+component and are kept; rows that share a doc_id are one document for ``near_duplicates``, each with the
+links of all its texts (``dedup`` goes by texts, see there); other columns are ignored (``op3``) or kept
+(``dedup``); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,10 +46,12 @@ from symlake.llm.common import (
     LOWER,
     SPACES,
     U64,
+    free,
     gram_hashes,
     mix,
     raw,
     read,
+    released,
     shared_dir,
     span_hashes,
     table,
@@ -54,6 +60,7 @@ from symlake.llm.common import (
     words,
 )
 from symlake.llm.components import components
+from symlake.llm.repeats import keyed
 
 SHINGLE = 5
 SIMILARITY = 80  # in hundredths
@@ -61,6 +68,8 @@ BANDS = 40
 ROWS = 4
 #: Members of buckets above HOT meet by their rarest shingles.
 HOT = 32
+#: Pairs for which a text that is compared with many others travels once.
+MATES = 256
 #: Bits of the counts that tell rare shingles from frequent ones.
 SLOTS = 20
 _SEEDS = mix(np.arange(1, 4097, dtype=U64) * U64(0xA24BAED4963EE407))
@@ -108,22 +117,34 @@ def band_keys(low: np.ndarray, bands: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def least_agreement(t: int, similarity: int, chance: float = 1e-12) -> int:
+    """So many of t coordinates agree in sets of this similarity or more, but with this chance."""
+    p, below, k = similarity / 100, 0.0, 0
+    while below <= chance and k <= t:
+        below += math.comb(t, k) * p**k * (1 - p) ** (t - k)
+        k += 1
+    return k - 1
+
+
 def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n (set size), c1, c2 (128-bit hash of the set), bands (keys; null for an empty set)."""
+    """doc_id, row, n (set size), c1, c2 (128-bit hash of the set), bands (keys) and sig (a byte of each coordinate); both null for an empty set."""
+    names = ["doc_id", "row", "n", "c1", "c2", "bands", "sig"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_chunks(batches):
             sets = shingle_sets(data, off, k)
             n = np.array([len(s) for s in sets], np.int64)
             c = np.array([[span_hashes(s, np.array([0]), np.array([len(s)]))[0], mix(s * U64(3) + U64(1)).sum(dtype=U64)] for s in sets], U64).reshape(-1, 2).view(np.int64)
-            keys = pa.array([band_keys(sketch(s, bands * rows), bands) if len(s) else None for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(c[:, 0]), pa.array(c[:, 1]), keys], names=["doc_id", "n", "c1", "c2", "bands"])
+            low = [sketch(s, bands * rows) if len(s) else None for s in sets]
+            keys = pa.array([None if x is None else band_keys(x, bands) for x in low], pa.list_(pa.int64()))
+            sig = pa.array([None if x is None else (mix(x) & U64(0xFF)).astype(np.uint8).tobytes() for x in low], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(n), pa.array(c[:, 0]), pa.array(c[:, 1]), keys, sig], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, c1 long, c2 long, bands array<long>")
+    return docs.select("doc_id", "row", "text").mapInArrow(released(work), "doc_id long, row long, n long, c1 long, c2 long, bands array<long>, sig binary")
 
 
-def slot_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """How many shingles of docs (in each row: distinct ones) fall in each of 2^SLOTS slots, as uint32 (at most its largest)."""
+def slot_counts(texts: DataFrame, k: int) -> np.ndarray:
+    """How many shingles of the texts (in each row: distinct ones) fall in each of 2^SLOTS slots, as uint32 (at most its largest)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << SLOTS, np.int64)
@@ -133,75 +154,93 @@ def slot_counts(docs: DataFrame, k: int) -> np.ndarray:
         for lo in range(0, len(slot), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(slot[lo : lo + (1 << 16)]), pa.array(n[slot[lo : lo + (1 << 16)]])], names=["slot", "n"])
 
-    found = docs.select("text").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("text").mapInArrow(released(work), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SLOTS, np.uint32)
     out[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.uint32).max)
     return out
 
 
-def prefixes(docs: DataFrame, k: int, similarity: int) -> DataFrame:
-    """node, n, g, at: of each row the shingles that can be the first common one with a linked set, and their places."""
-    counts = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, k))  # of fixed size
+def prefixes(texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """node, n, g, at: of each row of texts (node, text) the shingles that can be the first common one with a linked set, and their places."""
+    counts = texts.sparkSession.sparkContext.broadcast(slot_counts(texts, k))  # of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_chunks(batches):
             out = []
             for s in shingle_sets(data, off, k):
                 order = np.lexsort((s, counts.value[(s >> U64(64 - SLOTS)).astype(np.int64)]))
-                out.append(s[order[: len(s) - -(-similarity * len(s) // 100) + 1]] if len(s) else s)
-                out[-1] = (out[-1], len(s))
+                out.append((s[order[: len(s) - -(-similarity * len(s) // 100) + 1]] if len(s) else s, len(s)))
             m = [len(s) for s, _ in out]
-            ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-            cols = [np.repeat(ids, m), np.repeat(np.array([n for _, n in out], np.int64), m), np.concatenate([s for s, _ in out]).view(np.int64), np.concatenate([np.arange(x) for x in m])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "n", "g", "at"])
+            cols = [np.repeat(np.array([n for _, n in out], np.int64), m), np.concatenate([s for s, _ in out]).view(np.int64), np.concatenate([np.arange(x) for x in m])]
+            node = part.column("node").take(pa.array(np.repeat(np.arange(len(m)), m)))
+            yield pa.RecordBatch.from_arrays([node, *(pa.array(c) for c in cols)], names=["node", "n", "g", "at"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "node long, n long, g long, at long")
+    return texts.select("node", "text").mapInArrow(released(work), "node long, n long, g long, at long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataFrame:
-    """Of pairs (a, b) those whose sets have 100 * intersection >= similarity * union."""
-    ids = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(ids, "__id", "left_semi")
-    texts = table(docs.sparkSession, texts, shared_dir(docs.sparkSession, "minhash-texts"))
-    left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+def likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """Of pairs (a, b) those whose sketches (sigs: node, n, sig) agree in at least so many coordinates."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                b = batch.slice(lo, 128)
-                ok = []
-                data, off = raw(b.column("tb"))
-                for ta, sb in zip(b.column("ta").to_pylist(), shingle_sets(data, off, k), strict=True):
-                    if ta not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        x = np.frombuffer((ta or "").encode("utf-8", "surrogatepass"), np.uint8)
-                        known[ta] = shingle_sets(x, np.array([0, len(x)]), k)[0]
-                    sa = known[ta]
-                    same = len(sa) + len(sb) - len(np.union1d(sa, sb))
-                    ok.append(same > 0 and 100 * same >= similarity * (len(sa) + len(sb) - same))
-                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(work, "a long, b long").distinct()
-
-
-def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(sketch rows, classes): a class is c1, c2, its smallest doc_id and its component."""
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(raw(b.column(c))[0], np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
+                yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+
+    sa, sb = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+    both = pairs.join(sb.hint("merge"), "b").join(sa.hint("merge"), "a")
+    return both.select("a", "b", "sa", "sb").mapInArrow(released(work), "a long, b long")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """Of pairs (a, b) those whose sets have 100 * intersection >= similarity * union; texts: node, text.
+
+    A text travels once for each pair in which it is b, and once for every MATES pairs in which it is a.
+    Texts are never broadcast, however few.
+    """
+    count = pairs.groupBy("a").agg(F.count("*").alias("m"))
+    deal = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / MATES)).cast("int")
+    right = pairs.join(texts.hint("merge").select(F.col("node").alias("b"), "text"), "b").join(count, "a").select("a", deal.alias("part"), "b", "text")
+    left = count.join(texts.hint("merge").select(F.col("node").alias("a"), "text"), "a")
+    left = left.select("a", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / MATES) - 1).cast("int"))).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    n = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: list[np.ndarray] = []  # the sets of node
+        node = before = None
+        for part, data, off in text_chunks(batches):
+            good = []
+            for i, (s, a, b) in enumerate(zip(shingle_sets(data, off, k), part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
+                if b is None:
+                    mine = [s] if a != node or before is not None else [*mine, s]
+                    node = a
+                elif any(100 * (same := len(x) + len(s) - len(np.union1d(x, s))) >= similarity * (len(x) + len(s) - same) and same for x in mine):
+                    good.append(i)
+                before = b
+            yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+    dealt = left.union(right).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(released(work), "a long, b long").distinct()
+
+
+def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketch of every row; the classes of equal sets: c1, c2 and node, the class's name; and (u, v): nodes that aren't their component's first, and that."""
     spark = docs.sparkSession
     size_ok = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * similarity
     sk = table(spark, sketches(docs, k, bands, rows), f"{folder}/sketches")
-    reps = sk.where("doc_id IS NOT NULL AND n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
-    reps = table(spark, reps, f"{folder}/classes")
-    one = sk.where("n > 0").select(F.col("c1").alias("s1"), F.col("c2").alias("s2"), F.col("doc_id").alias("node"), "bands")
-    signed = reps.join(one, (reps["c1"] == F.col("s1")) & (reps["c2"] == F.col("s2")) & (reps["node"] == one["node"])).select(reps["node"], "n", "bands")
-    signed = table(spark, signed.dropDuplicates(["node"]), f"{folder}/signed")
-    member = signed.select("node", "n", F.explode("bands").alias("key"))
+    reps = sk.where("doc_id IS NOT NULL AND n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row")).alias("x"), *[F.first(c).alias(c) for c in ("n", "bands", "sig")])
+    reps = table(spark, reps.withColumn("node", F.xxhash64("c1", "c2")), f"{folder}/classes")
+    sizes, sigs = reps.select("node", "n"), reps.select("node", "sig")
+    member = reps.select("node", F.explode("bands").alias("key"))
     full = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    multi = table(spark, member.join(full, "key").distinct(), f"{folder}/buckets")
-    popular = multi.groupBy("node").agg(F.sum("m").alias("pop"))
-    multi = table(spark, multi.join(popular, "node"), f"{folder}/popular")
+    multi = table(spark, member.join(full, "key"), f"{folder}/buckets")
+    near = multi.groupBy("node").agg(F.sum("m").alias("pop"))
+    places = reps.join(near, "node").select("node", "n", "pop", "x.*")
+    places = table(spark, places, f"{folder}/near")
+    multi = table(spark, multi.join(places.select("node", "n", "pop"), "node"), f"{folder}/popular")
+    texts = docs.where("doc_id IS NOT NULL").join(places.hint("merge").select("node", "doc_id", "row"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
+    texts = table(spark, texts, f"{folder}/texts")
+    least = least_agreement(bands * rows, similarity)
 
     tested = found = None
     group = None
@@ -217,10 +256,9 @@ def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, r
         else:
             here = here.withColumn("comp", F.col("node"))
         if step == "all":
-            crowded = here.where(F.col("m") > HOT).select("node").distinct()
-            again = docs.join(crowded, F.col("doc_id") == F.col("node"), "left_semi")
-            place = here.select("node", "comp").distinct()
-            rare = table(spark, prefixes(again, k, similarity).join(place, "node"), f"{folder}/rare")
+            crowded = here.where(F.col("m") > HOT).select("node", "comp").distinct()
+            again = texts.join(crowded.select("node"), "node", "left_semi")
+            rare = table(spark, prefixes(again, k, similarity).join(crowded, "node"), f"{folder}/rare")
             mixed = rare.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("g")
             rare = table(spark, rare.join(mixed, "g"), f"{folder}/rare-mixed")
             small = here.where(F.col("m") <= HOT).select(F.col("key").alias("g"), "node", "n", "comp")
@@ -248,32 +286,60 @@ def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, r
             continue
         now = pairs.select("x", "y")
         tested = now if tested is None else tested.union(now)
-        ok = table(spark, verify(pairs.select("a", "b"), docs, k, similarity), f"{folder}/ok-{step}").toDF("u", "v")
+        close = table(spark, likely(pairs.select("a", "b"), sigs, least), f"{folder}/likely-{step}")
+        ok = table(spark, verify(close, texts, k, similarity), f"{folder}/ok-{step}").toDF("u", "v")
         found = ok if found is None else found.union(ok)
         group = components(found, f"{folder}/components-{step}")
     if group is None:
-        return sk, reps.withColumn("component", F.col("node"))
-    return sk, reps.join(group.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        group = spark.createDataFrame([], "u long, v long")
+    return sk, reps.select("c1", "c2", "node"), group
+
+
+def placed(sk: DataFrame, cls: DataFrame, group: DataFrame) -> DataFrame:
+    """doc_id, row, n and comp (null without words or id) of every row."""
+    cls = cls.join(group.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("comp", "node").alias("comp"))
+    out = sk.join(cls, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    return out.select("doc_id", "row", "n", "comp")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    folder = shared_dir(docs.sparkSession, "minhash")
-    sk, cls = classes(docs.select("doc_id", "text"), folder, k, similarity, bands, rows)
-    cls = cls.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "component")
-    out = sk.join(cls, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n") > 0), "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    spark = docs.sparkSession
+    folder = shared_dir(spark, "minhash")
+    sk, cls, group = classes(keyed(docs), folder, k, similarity, bands, rows)
+    at = table(spark, placed(sk, cls, group), f"{folder}/placed")
+    # rows that share an id are one document: their components are one
+    ids = at.where("doc_id IS NOT NULL AND comp IS NOT NULL").groupBy("doc_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    shared = ids.where("lo != hi").select("doc_id", "lo")
+    links = table(spark, at.join(shared, "doc_id").where("comp != lo").select(F.col("comp").alias("u"), F.col("lo").alias("v")), f"{folder}/shared")
+    if links.take(1):
+        more = components(links, f"{folder}/components-shared").select(F.col("u").alias("comp"), "v")
+        at = at.join(more, "comp", "left").withColumn("comp", F.coalesce("v", "comp"))
+    first = at.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    out = at.join(first, "comp", "left")
+    comp = F.coalesce("least", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """The rows of docs, all columns, without those whose component has a smaller id; one row per kept id."""
+    """The rows of docs, all columns, but for those linked to a row with a smaller id.
+
+    Links are between texts here: of rows that share an id but not a text each goes with its own text's group, in
+    which the row with the least id, then the least hash of the text, stays; of rows alike in id and text one stays.
+    """
     spark = docs.sparkSession
-    gone = near_duplicates(docs, k, similarity, bands, rows).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = table(spark, gone, shared_dir(spark, "minhash-gone"))
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    # rows that repeat an id are copies of the kept document too
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+    folder = shared_dir(spark, "minhash-dedup")
+    at = placed(*classes(keyed(docs), folder, k, similarity, bands, rows))
+    at = table(spark, at.where("doc_id IS NOT NULL").groupBy("doc_id", "row").agg(F.first("comp").alias("comp"), F.count("*").alias("copies")), f"{folder}/placed")
+    first = at.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("x"))
+    judged = at.join(first, "comp", "left").withColumn("gone", F.coalesce((F.col("x.doc_id") != F.col("doc_id")) | (F.col("x.row") != F.col("row")), F.lit(False)))
+    i, r, g = (free(c, docs.columns) for c in ("id", "row", "gone"))
+    gone = table(spark, judged.where("gone OR copies > 1").select(F.col("doc_id").alias(i), F.col("row").alias(r), F.col("gone").alias(g)), f"{folder}/gone")
+    kept = docs.columns
+    doc_id = docs["doc_id"].cast("long")
+    same = (doc_id == gone[i]) & (F.xxhash64(doc_id, docs["text"]) == gone[r])
+    again = docs.join(gone.where(~F.col(g)), same).dropDuplicates([i, r]).select(*kept)
+    return docs.join(gone, same, "left_anti").unionByName(again)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
