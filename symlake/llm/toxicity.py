@@ -11,13 +11,14 @@ over a window in each direction, attention weighs the positions, and the pooled
 logit; the document's score is that of its highest window. Labels are known for documents only, so in
 training each document teaches through the window that is highest so far.
 
-Associations are z-scores of smoothed log odds of presence in labelled documents. While the network is
-trained they come from the other half of the sample, so that they are as reliable as on new texts. The
-sample has at most FIT_ROWS documents of each label (expected; drawn by a hash of the id); the threshold is
-set for the labels' own frequencies.
+Associations are smoothed log odds of presence in labelled documents, nearer to 0 by their standard error, so
+that few positive documents tell a word that marks them from one that is merely rare. While the network is
+trained they come from the other parts of the sample, so that they are as reliable as on new texts. The
+sample has at most FIT_ROWS documents and FIT_BYTES of text of each label (expected; drawn by a hash of the id; no
+text of more than FIT_TEXT bytes is learned from); the threshold is set for the labels' own frequencies.
 
 Defined cases: null or empty text and text without words: the toxic share of the labels, below 0.5;
-labels that are null or neither 0 nor 1 and rows with a null id are not learned from; without labels of
+labels that are null or neither 0 nor 1, ids with both labels and rows with a null id are not learned from; without labels of
 both kinds every score is that share (0 without labels); repeated documents each get their row, and of
 texts that share an id the least is learned from; other
 columns are ignored (``score``) or kept (``keep_clean``).
@@ -37,7 +38,11 @@ from symlake.llm.common import BYTE_VALUE, CHUNK_BYTES, LOWER, NOT_ALNUM, U64, g
 
 WINDOW, STRIDE = 64, 48
 FIT_ROWS = 1500
+FIT_BYTES = 6 << 20
+FIT_TEXT = 1 << 20
 EPOCHS = 5
+#: Parts of the sample; a part's associations come from the others.
+FOLDS = 4
 STEPS = 400  # at least, however few documents there are
 HIDDEN = 8
 EMBED = 4
@@ -45,6 +50,8 @@ ORDERS = (3, 4, 5)
 _TABLE = 16  # bits of the association tables
 _EMBED = 12  # bits of the embedding tables
 _BATCH = 1024
+#: Pull of the embeddings to 0, so that few documents aren't learned by heart.
+DECAY = 5.0
 _F = np.float32
 
 
@@ -99,7 +106,7 @@ def _slot(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def associations(v: Vocab, label: np.ndarray) -> dict[int, np.ndarray]:
-    """Tables of z-scores by hash slot: 0 for words, k for k-grams; label of each row, -1: not used."""
+    """Tables of association by hash slot: 0 for words, k for k-grams; label of each row, -1: not used."""
     used = label >= 0
     pos, neg = int((label == 1).sum()), int((label == 0).sum())
     out = {}
@@ -126,8 +133,9 @@ def associations(v: Vocab, label: np.ndarray) -> dict[int, np.ndarray]:
             d, s = both >> _TABLE, both & ((1 << _TABLE) - 1)
             p += np.bincount(s[label[d] == 1], minlength=1 << _TABLE)
             n += np.bincount(s[label[d] == 0], minlength=1 << _TABLE)
-        z = (np.log(p / (pos + 1)) - np.log(n / (neg + 1))) / np.sqrt(1 / p + 1 / n)
-        out[k] = np.tanh(z / 4).astype(_F)
+        odds = np.log(p / (pos + 1)) - np.log(n / (neg + 1))
+        sure = np.sign(odds) * np.maximum(np.abs(odds) - np.sqrt(1 / p + 1 / n), 0)
+        out[k] = np.tanh(sure / 2).astype(_F)
     return out
 
 
@@ -315,11 +323,11 @@ def train(texts: list[bytes], label: np.ndarray, share: float, epochs: int = EPO
     off = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     v = vocab(data, off)
     rng = np.random.default_rng(seed)
-    half = rng.permutation(len(texts)) % 2
+    half = rng.permutation(len(texts)) % FOLDS
     m = start_weights(seed)
-    tables = [associations(v, np.where(half == 1 - i, label, -1)) for i in (0, 1)]  # for half i, from the other
+    tables = [associations(v, np.where(half != i, label, -1)) for i in range(FOLDS)]  # for part i, from the others
     start, length, doc = windows(v.row, len(texts))
-    groups = [np.flatnonzero(half[doc] == i) for i in (0, 1)]
+    groups = [np.flatnonzero(half[doc] == i) for i in range(FOLDS)]
     moment = {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in m.items()}
     step = 0
 
@@ -328,7 +336,7 @@ def train(texts: list[bytes], label: np.ndarray, share: float, epochs: int = EPO
 
     def logits() -> np.ndarray:
         out = np.zeros(len(start), _F)
-        for i in (0, 1):
+        for i in range(FOLDS):
             out[groups[i]] = window_logits(m, _projections(m, inputs(v, tables[i], m, fixed[i])), v, start[groups[i]], length[groups[i]])
         return out
 
@@ -339,7 +347,7 @@ def train(texts: list[bytes], label: np.ndarray, share: float, epochs: int = EPO
             now = logits()
             order = np.lexsort((-now, doc))
             top = order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))]  # the highest window of each document
-        for i in (0, 1):
+        for i in range(FOLDS):
             mine = rng.permutation(top[half[doc[top]] == i])
             for lo in range(0, len(mine), size):
                 at = mine[lo : lo + size]
@@ -363,7 +371,8 @@ def train(texts: list[bytes], label: np.ndarray, share: float, epochs: int = EPO
                     a, b = moment[k]
                     a += 0.1 * (g[k] - a)
                     b += 0.001 * (g[k] * g[k] - b)
-                    m[k] -= (0.01 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-6)).astype(_F)
+                    pull = DECAY * m[k] if k in ("words", "chars") else 0
+                    m[k] -= (0.01 * ((a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-6) + pull)).astype(_F)
     now = logits()
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, doc, now.astype(float))
@@ -389,12 +398,17 @@ def _threshold(best: np.ndarray, label: np.ndarray, share: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, epochs: int = EPOCHS) -> Model:
     """Learn from the labelled rows of docs (doc_id, text) and labels (doc_id, toxic) whose fold is not 0."""
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)").where(fold(F.col("__id")) != 0)
-    n = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
-    share = n.get(1, 0) / max(sum(n.values()), 1)
+    known = known.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z").drop("__z")
+    docs = docs.select(F.col("doc_id").cast("long").alias("__id"), "text")
+    size = F.octet_length("text")
+    found = known.join(docs.select("__id", size.alias("__size")), "__id", "left")
+    short = F.coalesce(F.col("__size") <= FIT_TEXT, F.lit(False))
+    n = {r["__y"]: r for r in found.groupBy("__y").agg(F.count_distinct("__id").alias("n"), F.count_if(short).alias("m"), F.sum(F.when(short, F.col("__size")).otherwise(0)).alias("size")).collect()}  # two rows
+    share = n[1]["n"] / sum(r["n"] for r in n.values()) if 1 in n else 0.0
+    p = {y: min(1.0, fit_rows / max(r["m"], 1), FIT_BYTES / max(r["size"], 1)) for y, r in n.items()}
     draw = F.pmod(F.xxhash64(F.col("__id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.when(F.col("__y") == 1, min(1.0, fit_rows / max(n.get(1, 0), 1))).otherwise(min(1.0, fit_rows / max(n.get(0, 0), 1)))
-    drawn = known.where(draw <= rate).dropDuplicates(["__id"])  # about 2 * fit_rows rows at most
-    found = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(drawn), "__id").where("text IS NOT NULL")
+    drawn = known.where(draw <= F.when(F.col("__y") == 1, p.get(1, 1.0)).otherwise(p.get(0, 1.0)))  # about 2 * fit_rows rows at most
+    found = docs.where(size <= FIT_TEXT).join(F.broadcast(drawn), "__id")
     rows = found.groupBy("__id", "__y").agg(F.min("text").alias("text")).collect()  # one text for each id drawn
     rows.sort(key=lambda r: r["__id"])
     return train([r["text"].encode("utf-8", "surrogatepass") for r in rows], np.array([r["__y"] for r in rows], np.int64), share, epochs)
