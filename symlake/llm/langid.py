@@ -6,11 +6,12 @@ looked up, the bits are counted for each language, each count is corrected for t
 false positives (its share of set slots to the power of the number of probes), and the language with the
 largest corrected count wins; the score is its share of all corrected counts.
 
-The filters are fitted on at most FIT_ROWS rows of each language (expected; chosen by a hash of the id),
-of which the FIT_GRAMS most frequent n-grams enter. Texts are lower-cased (A-Z), other bytes of ASCII than letters become
+The filters are fitted on at most FIT_ROWS rows and FIT_BYTES of text of each language (expected; chosen by a hash of the
+id; no text of more than FIT_TEXT bytes is learned from), of which the FIT_GRAMS most frequent n-grams enter. Texts are lower-cased (A-Z), other bytes of ASCII than letters become
 blanks, and a blank is put at both ends, so every text with a letter has n-grams.
 
-Defined cases: null text and text without a letter: und, score 0; a text whose n-grams are in no filter
+Defined cases: null text and text without a letter: und, score 0; of languages with equal counts the first by name;
+repeated rows each get theirs; a text whose n-grams are in no filter
 gets the language with most rows, score 1 / languages; rows with a null id or null lang are not learned
 from; no row to learn from: all und; other columns are ignored.
 """
@@ -31,6 +32,8 @@ PROBES = 3
 SLOT_BITS = 18
 FIT_ROWS = 400
 FIT_GRAMS = 20_000
+FIT_BYTES = 8 << 20
+FIT_TEXT = 1 << 20
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -87,11 +90,16 @@ class Filters:
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, fit_grams: int = FIT_GRAMS) -> Filters:
     """Filters from rows (doc_id, text, lang); nothing but text and lang is learned from."""
     spark = rows.sparkSession
-    rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    if not per:
+    rows = rows.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    size = F.octet_length("text")
+    short = size <= FIT_TEXT
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("m"), F.sum(F.when(short, size).otherwise(0)).alias("size")).collect()  # a row for each language
+    if not found:
         return Filters([], [], 0)
-    rate = F.create_map(*[x for lang, n in per.items() for x in (F.lit(lang), F.lit(min(1.0, fit_rows / n)))])
+    per = {r["lang"]: r["n"] for r in found}
+    share = {r["lang"]: min(1.0, fit_rows / max(r["m"], 1), FIT_BYTES / max(r["size"], 1)) for r in found}
+    rate = F.create_map(*[x for lang, p in share.items() for x in (F.lit(lang), F.lit(p))])
+    rows = rows.where(short)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
 
     def top(key: tuple, t: pa.Table) -> pa.Table:
@@ -102,6 +110,8 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, fit_grams: int = FIT_GRAMS) -
         return pa.table({"lang": pa.array([key[0].as_py()]), "grams": pa.array([u[best].view(np.int64)], pa.list_(pa.int64()))})
 
     found = rows.where(draw <= rate[F.col("lang")]).select("lang", "text").groupBy("lang").applyInArrow(top, "lang string, grams array<long>").collect()
+    if not found:
+        return Filters([], [], 0)
     langs = sorted((r["lang"] for r in found))
     sets = {r["lang"]: np.array(r["grams"], np.int64).view(U64) for r in found}
     most = max(langs, key=lambda x: (per[x], x))
