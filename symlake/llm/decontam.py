@@ -10,8 +10,10 @@ so a document is read at every 12th word or so: a block in no test string lets t
 ends that it excludes, shift 0 opens the bucket, and the words are then compared, first by their hashes
 and at last byte by byte. Many stretches of text move on at once, in numpy.
 
-The items are dealt into files in the shared folder, each of bounded size, which the workers read; one
-file is compiled at a time, so a benchmark of any size takes bounded memory. Documents are not shuffled.
+The items are dealt into files in the shared folder, each of about FILE_BYTES of text, which the workers read. A
+task keeps compiled files of HELD_BYTES together, and goes through GROUP_BYTES of documents for each file before
+the next one, so a benchmark of any size takes bounded memory and is compiled once for every group at most.
+Documents are not shuffled.
 
 Defined cases: null or empty text has no words and is clean; an item without words has no windows; equal
 windows of several items count for each; rows with a null item_id mark words but are in no list of
@@ -49,7 +51,11 @@ BLOCK = 2
 SUFFIX = 4
 #: Contaminated from this share of hit words: 1 / 20.
 SHARE = 20
-ITEMS_PER_FILE = 20_000
+FILE_BYTES = 1 << 20
+#: Text of the items whose compiled patterns a worker keeps.
+HELD_BYTES = 4 << 20
+#: Text of documents that meets a file of items before the next file is compiled.
+GROUP_BYTES = 16 << 20
 _BITS = 18
 _LANE = 256
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -127,41 +133,79 @@ def compile_items(ids: list, data: np.ndarray, off: np.ndarray, window: int) ->
     return [Patterns([(k, *v) for k, v in found[m].items()]) for m in sorted(found)]
 
 
-_compiled: dict[str, list[Patterns]] = {}
+class Compiled:
+    """The patterns of the files that were last used, up to HELD_BYTES of their items' text."""
 
+    def __init__(self, window: int):
+        self.window = window
+        self.held: dict[str, tuple[int, list[Patterns]]] = {}
 
-def _patterns(uri: str, window: int) -> list[Patterns]:
-    key = f"{uri}:{window}"
-    if key not in _compiled:
-        if len(_compiled) >= 2:
-            _compiled.clear()
-        t = read_shard(uri)
-        _compiled[key] = compile_items(t.column("item_id").to_pylist(), *raw(t.column("text")), window)
-    return _compiled[key]
+    def __call__(self, uri: str) -> list[Patterns]:
+        if uri in self.held:
+            self.held[uri] = self.held.pop(uri)
+        else:
+            t = read_shard(uri)
+            data, off = raw(t.column("text"))
+            while self.held and sum(n for n, _ in self.held.values()) + len(data) > HELD_BYTES:
+                del self.held[next(iter(self.held))]
+            self.held[uri] = len(data), compile_items(t.column("item_id").to_pylist(), data, off, self.window)
+        return self.held[uri][1]
+
+
+class Chunk:
+    """The words of some documents, which of them are hit, and the items of each document."""
+
+    def __init__(self, part: pa.RecordBatch, data: np.ndarray, off: np.ndarray):
+        self.part = part
+        self.data, self.starts, self.ends, self.row = normal_words(data, off)
+        self.h = word_hashes(self.data, self.starts, self.ends)
+        self.delta = np.zeros(len(self.h) + 1, np.int64)
+        self.items: list[set] = [set() for _ in range(part.num_rows)]
+
+    def meet(self, patterns: list[Patterns]) -> None:
+        for p in patterns:
+            for e, k in zip(*(x.tolist() for x in p.find(self.h, self.row)), strict=True):
+                b = e - p.m + 1
+                if all(bytes(self.data[self.starts[b + i] : self.ends[b + i]]) == w for i, w in enumerate(p.words[k])):
+                    self.delta[b] += 1
+                    self.delta[e + 1] -= 1
+                    self.items[self.row[e]].update(p.items[k])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words and hit words of each document."""
+        hit = np.cumsum(self.delta[:-1]) > 0
+        rows = self.part.num_rows
+        return np.bincount(self.row, minlength=rows), np.bincount(self.row[hit], minlength=rows)
 
 
 def scan(batches: Iterator[pa.RecordBatch], files: list[str], window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set]]]:
     """Batches of documents with n_words, n_hit and the set of item ids for each row."""
-    for part, data, off in text_chunks(batches):
-        data, starts, ends, row = normal_words(data, off)
-        h = word_hashes(data, starts, ends)
-        delta = np.zeros(len(h) + 1, np.int64)
-        items: list[set] = [set() for _ in range(part.num_rows)]
+    compiled = Compiled(window)
+    group: list[Chunk] = []
+    size = 0
+
+    def found() -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set]]]:
         for uri in files:
-            for p in _patterns(uri, window):
-                for e, k in zip(*(x.tolist() for x in p.find(h, row)), strict=True):
-                    b = e - p.m + 1
-                    if all(bytes(data[starts[b + i] : ends[b + i]]) == w for i, w in enumerate(p.words[k])):
-                        delta[b] += 1
-                        delta[e + 1] -= 1
-                        items[row[e]].update(p.items[k])
-        hit = np.cumsum(delta[:-1]) > 0
-        rows = part.num_rows
-        yield part, np.bincount(row, minlength=rows), np.bincount(row[hit], minlength=rows), items
-
-
-def item_files(items: DataFrame, folder: str, rows: int = ITEMS_PER_FILE) -> list[str]:
-    return write_shards(items.sparkSession, items.select(F.col("item_id").cast("string").alias("item_id"), "text"), ["item_id", "text"], f"{folder}/items", rows)
+            patterns = compiled(uri)
+            for c in group:
+                c.meet(patterns)
+        for c in group:
+            yield c.part, *c.counts(), c.items
+        group.clear()
+
+    for part, data, off in text_chunks(batches):
+        group.append(Chunk(part, data, off))
+        size += len(data)
+        if len(files) < 2 or size >= GROUP_BYTES:
+            yield from found()
+            size = 0
+    yield from found()
+
+
+def item_files(items: DataFrame, folder: str, size: int = FILE_BYTES) -> list[str]:
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    n, total = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return write_shards(items.sparkSession, items, ["item_id", "text"], f"{folder}/items", max(1, n * size // max(total, 1)))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
