@@ -40,7 +40,7 @@ def free(name: str, taken: Iterable[str]) -> str:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder (URI) under spark.checkpoint.dir that driver and executors see.
+    """A fresh folder (URI) under spark.checkpoint.dir that driver and executors see, removed when the driver's JVM ends.
 
     A folder of this machine is used only where that setting is empty and Spark runs on this machine alone.
     """
@@ -52,6 +52,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path)
+    fs.deleteOnExit(path)
     return fs.makeQualified(path).toString()
 
 

@@ -227,7 +227,7 @@ def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, r
     """The sketch of every row; the classes of equal sets: c1, c2 and node, the class's name; and (u, v): nodes that aren't their component's first, and that."""
     spark = docs.sparkSession
     size_ok = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * similarity
-    sk = table(spark, sketches(docs, k, bands, rows), f"{folder}/sketches")
+    sk = table(spark, sketches(docs, k, bands, rows), f"{folder}/sketches", small=True)
     reps = sk.where("doc_id IS NOT NULL AND n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row")).alias("x"), *[F.first(c).alias(c) for c in ("n", "bands", "sig")])
     reps = table(spark, reps.withColumn("node", F.xxhash64("c1", "c2")), f"{folder}/classes")
     sizes, sigs = reps.select("node", "n"), reps.select("node", "sig")
@@ -236,7 +236,7 @@ def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, r
     multi = table(spark, member.join(full, "key"), f"{folder}/buckets")
     near = multi.groupBy("node").agg(F.sum("m").alias("pop"))
     places = reps.join(near, "node").select("node", "n", "pop", "x.*")
-    places = table(spark, places, f"{folder}/near")
+    places = table(spark, places, f"{folder}/near", small=True)
     multi = table(spark, multi.join(places.select("node", "n", "pop"), "node"), f"{folder}/popular")
     texts = docs.where("doc_id IS NOT NULL").join(places.hint("merge").select("node", "doc_id", "row"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
     texts = table(spark, texts, f"{folder}/texts")
@@ -250,7 +250,7 @@ def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, r
             moved = group.select(F.col("u").alias("node"), F.col("v").alias("comp"))
             here = multi.join(moved, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             apart = here.groupBy("key").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi")).where("c_lo != c_hi")
-            here = table(spark, here.join(apart.select("key", "c_lo"), "key"), f"{folder}/apart-{step}")
+            here = table(spark, here.join(apart.select("key", "c_lo"), "key"), f"{folder}/apart-{step}", small=True)
             if not here.take(1):
                 break
         else:
@@ -258,7 +258,7 @@ def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, r
         if step == "all":
             crowded = here.where(F.col("m") > HOT).select("node", "comp").distinct()
             again = texts.join(crowded.select("node"), "node", "left_semi")
-            rare = table(spark, prefixes(again, k, similarity).join(crowded, "node"), f"{folder}/rare")
+            rare = table(spark, prefixes(again, k, similarity).join(crowded, "node"), f"{folder}/rare", small=True)
             mixed = rare.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("g")
             rare = table(spark, rare.join(mixed, "g"), f"{folder}/rare-mixed")
             small = here.where(F.col("m") <= HOT).select(F.col("key").alias("g"), "node", "n", "comp")
@@ -279,7 +279,7 @@ def classes(docs: DataFrame, folder: str, k: int, similarity: int, bands: int, r
         pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"])
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = table(spark, pairs, f"{folder}/pairs-{step}")
+        pairs = table(spark, pairs, f"{folder}/pairs-{step}", small=True)
         if not pairs.take(1):
             if step == "first":
                 break

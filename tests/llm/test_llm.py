@@ -93,6 +93,60 @@ def test_gradients():
         m[k][i] = old
 
 
+def test_scores_agree_with_a_network_read_word_by_word():
+    """The score of a text is that of its highest window, read here one word after the other."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["good", "bad", "vile", "mild", "plain"]) + rng.choice("abc") for _ in range(n)).encode() for n in (5, 40, 150, 64, 65, 1)]
+    label = np.array([1, 0, 1, 0, 1, 0])
+    model = toxicity.train(texts, label, 0.5)
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    m, sig = model.weights, lambda x: 1 / (1 + np.exp(-x))
+    for i, got in enumerate(model.score(data, off)):
+        v = toxicity.vocab(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
+        x = toxicity.inputs(v, model.table, m)[v.inverse].astype(float)
+        logits, first = [], 0
+        while True:
+            w = x[first : first + toxicity.WINDOW]
+            states = {}
+            for way, order in (("f", range(len(w))), ("b", reversed(range(len(w))))):
+                h, out = np.zeros(toxicity.HIDDEN), {}
+                for t in order:
+                    a = w[t] @ m[f"W{way}"] + m[f"c{way}"]
+                    k = toxicity.HIDDEN
+                    zr = sig(a[: 2 * k] + h @ m[f"U{way}"][:, : 2 * k])
+                    new = np.tanh(a[2 * k :] + (zr[k:] * h) @ m[f"U{way}"][:, 2 * k :])
+                    h = zr[:k] * h + (1 - zr[:k]) * new
+                    out[t] = h
+                states[way] = np.stack([out[t] for t in range(len(w))])
+            score, value = (sum(states[way] @ m[f"{c}{way}"] for way in "fb") for c in "qw")
+            weight = np.exp(score - score.max())
+            logits.append((weight / weight.sum() * value).sum() + m["bias"][0])
+            if first + toxicity.WINDOW >= len(x):
+                break
+            first += toxicity.STRIDE
+        assert abs(got - sig(max(logits) - model.threshold)) < 1e-3
+
+
+def test_toxicity_learns_from_few_and_bounded_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_TEXT", 4000)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeioulnst") for _ in range(rng.randint(3, 7)))
+    rows = []
+    for i in range(300):
+        w = [word() for _ in range(rng.randint(100, 400))]
+        if i % 7 == 0:
+            for _ in range(4):
+                w[rng.randrange(len(w))] = rng.choice(["rotten", "beastly", "wretched"])
+        rows.append((i, " ".join(w)))
+    rows.append((1000, "rotten " * 3000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0 or i == 1000)) for i, _ in rows] + [(8, 1)], "doc_id long, toxic int")  # 8 has both labels
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
+    pos, neg = [got[i] for i in held if i % 7 == 0], [got[i] for i in held if i % 7]
+    assert np.mean([[p > n for n in neg] for p in pos]) > 0.9 and got[1000] >= 0.5
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark, empty):
     rng = random.Random(1)
     rows, labels = [], []
@@ -360,7 +414,43 @@ def test_language_of_held_out_texts(spark, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
 
 
-def test_contamination_agrees_with_brute_force(spark, docs, corpus, empty):
+def test_language_masks_and_counts():
+    """Masks hold every language of an n-gram, and what else they hold is what the correction takes off."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)) for _ in range(11)]
+    sets[3] = np.union1d(sets[3], sets[7][:500])
+    f = langid.Filters([f"l{i:02}" for i in range(11)], sets, 0, bits=14)
+    assert 0.02 < f.false.mean() < 0.3
+    pick = [np.concatenate((sets[7][:200], sets[2][:100])), sets[3][-50:], rng.integers(0, 2**63, 4000).astype(np.uint64)]
+    h, row = np.concatenate(pick), np.repeat(np.arange(3), [len(x) for x in pick])
+    slots = [[set(f.slot(x, p).tolist()) for p in range(f.probes)] for x in sets]
+    full = [set().union(*s) for s in slots]
+    want = np.zeros((3, 11))
+    for g, r in zip(h, row, strict=True):
+        for i in range(11):
+            want[r, i] += all(int(f.slot(np.array([g]), p)[0]) in full[i] for p in range(f.probes))
+    total = np.bincount(row)[:, None]
+    assert np.allclose(f.counts(h, row, 3), np.maximum(want - total * f.false, 0) / (1 - f.false))
+    assert want[0, 7] >= 200 and want[0, 3] >= 200 and want[0, 2] >= 100
+    assert np.abs(f.counts(h, row, 3)[2]).max() < 0.15 * 4000  # strangers are few once corrected
+
+
+def test_language_fit_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_TEXT", 50)
+    rows = [(i, "abcd " * 3, "aa") for i in range(30)] + [(100 + i, "wxyz " * 40, "bb") for i in range(30)] + [(300, "abcd", "aa"), (300, "abcd", "aa")]
+    f = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert f.langs == ["aa"]  # all texts of the other are too long to learn from
+    out = langid.predict(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string"), f).collect()
+    assert len(out) == 62 and {r["lang_pred"] for r in out} == {"aa"}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_contamination_agrees_with_brute_force(spark, docs, corpus, empty, small, monkeypatch):
+    if small:  # a file for each item or so, none of them kept, few documents for each
+        monkeypatch.setattr(decontam, "HELD_BYTES", 1)
+        monkeypatch.setattr(decontam, "GROUP_BYTES", 300)
+        monkeypatch.setattr(decontam, "FILE_BYTES", 40)
+        monkeypatch.setattr(decontam.item_files, "__defaults__", (40,))
     w = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     items = [(1, " ".join(split(corpus[0][1])[10:60])), (2, corpus[9][1]), (3, "One"), (4, None), (5, "--"), (6, " ".join(split(corpus[6][1])[:4])), (None, "changed")]
     pats = {(tuple(v[j : j + min(13, len(v))]), i) for i, t in items for v in [w(t)] if v for j in range(len(v) - min(13, len(v)) + 1)}
@@ -464,6 +554,103 @@ def test_codes_choose_few_vectors():
     want = np.argsort(-(q @ x.T), axis=1)[:, :21]
     assert reranked < 0.05 * 100 * len(x)
     assert np.mean([len(set(ci[qi == i]) & set(want[i])) / 21 for i in range(100)]) >= 0.99
+def test_a_null_id_counts_as_the_largest(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(words)), (5, " ".join(["x", *words])), (None, " ".join(["y", *words[:20]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in phrases.remove_repeats(docs).collect()}
+    assert got == {(None, 40, 40), (5, 41, 0), (None, 21, 20)}
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in bytespans.remove_repeats(docs).collect()}
+    size = [len(t) for _, t in rows]
+    assert got == {(None, size[0], size[0]), (5, size[1], 0), (None, size[2], size[2] - 1)}
+
+
+def test_null_ids_of_tokens(spark):
+    rows = [(None, "b a"), (-(2**63), "a"), (2**63 - 1, "c"), (None, None)]
+    got = tokens.tokenize(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [-(2**63), 2**63 - 1, None, None] and sorted(r["n_tokens"] for r in got)[0] == 1
+
+
+def test_ranges_of_token_files(tmp_path, monkeypatch):
+    off = np.array([0, 3, 3, 10, 30, 31])
+    flat = np.arange(31, dtype="<u2")
+    (tmp_path / "x.bin").write_bytes(flat.tobytes())
+    monkeypatch.setattr(tokens.pafs, "LocalFileSystem", type(None))  # as of a store that is far away
+    parts = list(tokens._ranges(f"file://{tmp_path}/x.bin", "<u2", off, 10))
+    assert [p[:2] for p in parts] == [(0, 3), (3, 4), (4, 5)] and np.concatenate([p[2] for p in parts]).tolist() == flat.tolist()
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark, tmp_path_factory):
+    """documents, labels and benchmark: 300 documents, a third of them copies or near copies, some toxic, some contaminated."""
+    d, rng = tmp_path_factory.mktemp("corpus"), random.Random(12)
+    word = lambda: "".join(rng.choice("aeioulnst") for _ in range(rng.randint(3, 7)))
+    items = [(f"q{i}", " ".join(word() for _ in range(30))) for i in range(5)]
+    rows, base = [], [word() for _ in range(120)]
+    for i in range(300):
+        w = [word() for _ in range(rng.randint(60, 200))]
+        if i % 3 == 0:
+            w = list(base)
+            w[rng.randrange(120)] = word() if i % 2 else w[0]
+        if i % 9 == 1:
+            w[5:5] = items[i % 5][1].split()
+        if i % 8 == 2:
+            for _ in range(4):
+                w[rng.randrange(len(w))] = rng.choice(["rotten", "beastly", "wretched"])
+        rows.append((i, " ".join(w), "en", f"s{i % 3}", None))
+    rows += [(300, None, "en", "s0", 0), (301, "", "en", None, 0), (5, rows[5][1], "en", "s2", 0)]
+    docs = spark.createDataFrame([(*r[:4], len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 8 == 2)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d), items
+
+
+def test_pipeline_stages_agree_with_brute_force(spark, small_corpus):
+    import corpus_pipeline
+
+    d, items = small_corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+
+    clean = stages["toxicity"](spark, docs, d)
+    model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    bad = lambda t: model.score(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] >= 0.5
+    assert rows(clean) == sorted((tuple(r) for r in docs.collect() if not bad(r["text"])), key=repr)
+    gone = {r[0] for r in rows(docs)} - {r[0] for r in rows(clean)}
+    assert len(gone & {i for i in range(300) if i % 8 == 2}) >= 30 and len(gone - {i for i in range(300) if i % 8 == 2}) <= 10
+
+    single = stages["near_duplicates"](spark, clean, d)
+    _, comp = jaccard_components([(r["doc_id"], r["text"], None, None) for r in clean.collect()], 5, 80)
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(i for i in comp if comp[i] == i)
+
+    pure = stages["decontamination"](spark, single, d)
+    grams = {tuple(t.split()[j : j + 13]) for _, t in items for j in range(18)}
+    hits = lambda t: len({k for j in range(len(v) - 12) if tuple(v[j : j + 13]) in grams for k in range(j, j + 13)}) if (v := (t or "").split()) else 0
+    assert rows(pure) == sorted((tuple(r) for r in single.collect() if not (hits(r["text"]) and 20 * hits(r["text"]) >= len(r["text"].split()))), key=repr)
+    assert pure.count() < single.count()
+
+    mixed = stages["mixing"](spark, pure, d)
+    times = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(pure).collect() if r["size"]}
+    assert sorted(r["doc_id"] for r in mixed.collect() if r["text"]) == sorted(i for i, n in times.items() for _ in range(n))
+
+    mixed.write.mode("overwrite").parquet(f"{d}/mixed")
+    mixed = spark.read.parquet(f"{d}/mixed")
+    tok = tokens.WordEncoder(tokens.vocabulary()).tokenizer
+    want = sorted((r["doc_id"], zlib.crc32(np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for r in mixed.collect())
+    got = stages["token_ids"](spark, mixed, d).orderBy("start").collect()
+    assert [(r["doc_id"], r["ids_crc32"]) for r in got] == want and [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+
+
+def test_pipeline_runs_from_end_to_end(spark, small_corpus):
+    import corpus_pipeline
+
+    d, _ = small_corpus
+    out = corpus_pipeline.run(spark, d).collect()
+    assert out and {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(out[0].asDict()) and len({r["start"] for r in out}) == len(out)
+
+
 def test_pipeline_stages_keep_columns(docs, empty):
     import corpus_pipeline
 
