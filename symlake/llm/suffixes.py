@@ -97,13 +97,15 @@ def merged(pairs: Iterator[tuple[np.ndarray, np.ndarray]], folder: str | None, m
 class Queues:
     """First-in first-out queues of (position, common prefix) by symbol, spilled to one file."""
 
-    def __init__(self, folder: str, memory: int):
-        self.file = tempfile.TemporaryFile(dir=folder)
+    def __init__(self, folder: str, memory: int, kind: type = np.int64):
+        self.file, self.kind, self.size = tempfile.TemporaryFile(dir=folder), kind, 2 * np.dtype(kind).itemsize
         self.memory, self.held, self.end = memory, 0, 0
         self.parts: dict[int, list] = {}
 
     def put(self, symbol: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        self.parts.setdefault(symbol, []).append(np.stack((pos, lcp), 1))
+        both = np.empty((len(pos), 2), self.kind)
+        both[:, 0], both[:, 1] = pos, lcp
+        self.parts.setdefault(symbol, []).append(both)
         self.held += len(pos)
         if self.held > self.memory:
             self._spill()
@@ -141,13 +143,13 @@ class Queues:
             if not isinstance(part, np.ndarray):
                 at, n = part
                 for lo in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
-                    yield from self._load(at + lo * 16, min(BLOCK, n - lo))
+                    yield from self._load(at + lo * self.size, min(BLOCK, n - lo))
 
     def _load(self, at: int, n: int) -> Iterator[np.ndarray]:
         for lo in range(0, n, BLOCK):
-            self.file.seek(at + lo * 16)
+            self.file.seek(at + lo * self.size)
             k = min(BLOCK, n - lo)
-            yield np.frombuffer(self.file.read(k * 16), np.int64).reshape(k, 2)
+            yield np.frombuffer(self.file.read(k * self.size), self.kind).reshape(k, 2)
 
     def close(self) -> None:
         self.file.close()
@@ -219,9 +221,9 @@ def doubling_in_files(rank: np.ndarray, folder: str | None, memory: int, most: i
 
 def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Common prefixes of the suffixes a and b, at most limit."""
-    out = np.zeros(len(a), np.int64)
+    out = np.zeros(len(a), np.int32)
     at = np.flatnonzero((a >= 0) & (b >= 0)) if limit else np.zeros(0, np.int64)
-    n, stop = len(t), np.full(len(a), limit)
+    n, stop = len(t), np.full(len(a), limit, np.int32)
     if t.dtype == np.uint16 and n > 3 and t.flags.c_contiguous:  # four symbols at once, then those of the last four
         four = np.ndarray((n - 3,), np.uint64, t, 0, (2,))
         live, x, y = at, a[at], b[at]
@@ -253,6 +255,7 @@ class SuffixSorter:
 
     def __init__(self, t: np.ndarray, limit: int = 0, folder: str | None = None, base: int = BASE, memory: int = MEMORY):
         self.t, self.limit, self.folder, self.base, self.memory = t, limit, folder, base, memory
+        self.kind = np.int32 if len(t) < 1 << 31 else np.int64  # of places
         self.s = types_of(t, folder)
         alphabet = np.zeros(0, t.dtype)
         for z in blocks_of(len(t)):
@@ -265,7 +268,7 @@ class SuffixSorter:
         for seeds in self._found():
             count += np.bincount(self._spots(t[seeds]), minlength=len(alphabet))
         self.bounds = np.concatenate(([0], np.cumsum(count)))  # of the seeds of each symbol
-        self.seeds = array(folder, np.int64, int(self.bounds[-1]))
+        self.seeds = array(folder, self.kind, int(self.bounds[-1]))
         at = 0
         for seeds in self._found():
             self.seeds[at : at + len(seeds)] = seeds
@@ -301,7 +304,7 @@ class SuffixSorter:
             np.minimum(least, low, out=least)
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             symbol, who = int(c[i]), at[i:j]
-            value = np.zeros(j - i, np.int64)
+            value = np.zeros(j - i, self.kind)
             if self.limit:
                 k, last = self.spot[symbol], int(who[-1])
                 value = np.minimum.reduceat(lcp[: last + 1], np.concatenate(([0], who[:-1] + 1)))
@@ -313,7 +316,7 @@ class SuffixSorter:
     def _induce(self, seeds: np.ndarray) -> Iterator[np.ndarray]:
         """Blocks of (suffix, common prefix with the entry before), in descending order."""
         n, t = len(self.t), self.t
-        rising, stored, falling = (Queues(self.folder, self.memory) for _ in range(3))
+        rising, stored, falling = (Queues(self.folder, self.memory, self.kind) for _ in range(3))
         try:
             nothing = -1  # no entry of this symbol has been passed on: the first shares nothing
             least = np.full(len(self.symbols), nothing)
@@ -334,9 +337,14 @@ class SuffixSorter:
                 for lo in range(int(bounds[i]), int(bounds[i + 1]), BLOCK):
                     hi = min(lo + BLOCK, int(bounds[i + 1]))
                     pos = seeds[lo:hi]
-                    lcp = common(t, np.concatenate(([last], pos[:-1])), pos, self.limit)
+                    both = np.empty((len(pos), 2), self.kind)
+                    both[:, 0], both[:, 1] = pos, 0
+                    if self.limit:
+                        before = np.empty_like(pos)
+                        before[0], before[1:] = last, pos[:-1]
+                        both[:, 1] = common(t, before, pos, self.limit)
                     last = int(pos[-1])
-                    self._pass_on(np.stack((pos, lcp), 1), rising, least, False)
+                    self._pass_on(both, rising, least, False)
             least = np.full(len(self.symbols), nothing)
             for c in reversed(self.symbols):
                 last, seam = -1, 0
@@ -353,7 +361,8 @@ class SuffixSorter:
                     if fresh:
                         seam = int(common(t, np.array([last]), pos[:1], self.limit)[0]) if self.limit else 0
                         fresh = False
-                    out = np.stack((pos, np.concatenate(([seam], block[:0:-1, 1]))), 1)
+                    out = np.empty_like(block)
+                    out[:, 0], out[0, 1], out[1:, 1] = pos, seam, block[:0:-1, 1]
                     seam = int(block[0, 1])
                     yield out
                     self._pass_on(out, falling, least, True)
@@ -365,7 +374,7 @@ class SuffixSorter:
 
     def _by_symbol(self) -> np.ndarray:
         """The seeds by their first symbol and, among equal ones, by place."""
-        out, free = array(self.folder, np.int64, len(self.seeds)), self.bounds[:-1].copy()
+        out, free = array(self.folder, self.kind, len(self.seeds)), self.bounds[:-1].copy()
         for z in blocks_of(len(self.seeds)):
             c = self._spots(self.t[self.seeds[z]])
             order = np.argsort(c, kind="stable")
@@ -381,7 +390,7 @@ class SuffixSorter:
             return seeds
         plain = SuffixSorter.__new__(SuffixSorter)
         plain.__dict__ |= self.__dict__ | {"limit": 0}
-        order = array(self.folder, np.int64, m)  # by the substrings up to the next seed
+        order = array(self.folder, self.kind, m)  # by the substrings up to the next seed
         end = m
         for b in plain._induce(self._by_symbol()):
             pos = b[:, 0]
@@ -389,12 +398,12 @@ class SuffixSorter:
             order[end - len(pos) : end] = pos[::-1]
             end -= len(pos)
         string, name = array(self.folder, np.int64, m), -1
-        index_of = array(self.folder, np.int64 if m >= 1 << 31 else np.int32, len(t))
+        index_of = array(self.folder, self.kind, len(t))
         for z in blocks_of(m):
             index_of[seeds[z]] = np.arange(z.start, z.stop)
         for z in blocks_of(m):
             o = order[max(0, z.start - 1) : z.stop]  # with the one before
-            index = index_of[o].astype(np.int64)
+            index = index_of[o]
             length = np.where(index < m - 1, seeds[np.minimum(index + 1, m - 1)], len(t)) - o
             same = np.zeros(len(o), bool)
             pair = np.flatnonzero((length[1:] == length[:-1]) & (index[1:] != m - 1) & (index[:-1] != m - 1)) + 1
