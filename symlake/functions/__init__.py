@@ -1,9 +1,13 @@
-"""Column expressions that several operators share; all stay in the JVM."""
+"""Column expressions that several operators share; all but ``doc_summary`` stay in the JVM."""
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def match_tier(name: Column, query: str) -> Column:
@@ -31,6 +35,38 @@ def generated_path(path: Column) -> Column:
     return F.coalesce(p.contains("/obj/") | p.contains("/bin/") | p.endswith(".g.cs"), F.lit(False))
 
 
+def summary_text(xml: str | None) -> str | None:
+    """The trimmed text of the first summary element; null for blank or malformed documentation, or without one."""
+    if xml is None or not xml.strip():
+        return None
+    try:
+        found = next(ET.fromstring(xml).iter("summary"), None)
+    except ET.ParseError:
+        return None
+    return ("".join(found.itertext()).strip() or None) if found is not None else None
+
+
+@F.pandas_udf(StringType())
+def _summaries(xml: pd.Series) -> pd.Series:
+    return xml.map(summary_text)
+
+
+def doc_summary(xml: Column) -> Column:
+    """``summary_text`` in Arrow batches: XPath functions fail on malformed XML and can't tell a missing element."""
+    return _summaries(xml)
+
+
+def kind_label(kind: Column, type_kind: Column) -> Column:
+    """A symbol's kind; a named type goes by what type it is, and is a class if that is unknown."""
+    named = F.when(F.lower(type_kind).isin("interface", "struct", "enum", "delegate"), F.initcap(type_kind)).otherwise("Class")
+    return F.when(F.lower(kind) == "namedtype", named).otherwise(kind)
+
+
+def location(path: Column, line: Column, col: Column) -> Column:
+    """A place counted from 1 from one counted from 0; null outside of source files."""
+    return F.when(path.isNotNull(), F.struct(path.alias("file_path"), (line + 1).alias("line"), (col + 1).alias("col")))
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*?)(\.[^./\\]*)?$", 1)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symlake.functions import generated_path, severity_rank
+from symlake.operators.lookup import in_file
 
 _KNOWN = ("error", "warning", "info", "hidden")
 _RANK = {"error": 3, "warning": 2, "info": 1}
@@ -27,7 +28,7 @@ def compilation_errors(
     if project is not None:
         d = d.where(F.lower("project_id") == project.lower())
     if file_path is not None:
-        d = d.where(F.col("file_path") == F.lit(file_path))
+        d = d.where(in_file(F.col("file_path"), file_path))
     if severity is not None and severity.lower() in _KNOWN:
         d = d.where(F.lower("severity") == severity.lower())
     if exclude_codes:

@@ -56,9 +56,9 @@ def hosted_services(classified: DataFrame, subclasses: DataFrame) -> DataFrame:
     return registered.withColumn("via", F.lit("registration")).union(rest.withColumn("via", F.lit("subclass")))
 
 
-def section(df: DataFrame, order: list, cap: int) -> tuple[DataFrame, Column]:
-    """The first cap rows and, as a condition on the count of all, whether more were there."""
-    return df.orderBy(*order).limit(cap), F.count("*") > cap
+def lifetime_counts(classified: DataFrame) -> DataFrame:
+    """lifetime (unclassified without one) and number of the registrations."""
+    return classified.where(F.col("bucket").isin("di", "unclassified")).groupBy(F.coalesce("lifetime", F.lit("unclassified")).alias("lifetime")).agg(F.count("*").alias("n"))
 
 
 def find_registrations(classified: DataFrame, query: str | None = None) -> DataFrame:

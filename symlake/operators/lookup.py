@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlake.functions import match_tier
+from symlake.functions import doc_summary, match_tier
 from symlake.operators.graph import closure
 from symlake.schema import SPAN_COLUMNS
 
 
+NOT_IN_OUTLINE = ("Delegate", "Indexer", "EnumMember", "LocalFunction")
+
+
 def cascade(member_links: DataFrame, target_id) -> DataFrame:
     """The ids that a search for target_id covers: it and all members linked with it either way."""
     both = member_links.select(F.col("member_id").alias("src"), F.col("linked_id").alias("dst"))
@@ -36,9 +39,11 @@ def reference_summary(refs: DataFrame) -> DataFrame:
 
 
 def symbol_at(tokens: DataFrame, file_path, line: int, col: int) -> DataFrame:
-    """symbol_id of the narrowest token at a position."""
-    at = tokens.where((F.col("file_path") == F.lit(file_path)) & (F.col("line") == line) & (F.col("col") <= col) & (F.lit(col) < F.col("end_col")))
-    return at.orderBy(F.col("end_col") - F.col("col"), "symbol_id").limit(1).select("symbol_id")
+    """symbol_id of the narrowest token at a position; a token may span lines."""
+    begun = (F.col("line") < line) | ((F.col("line") == line) & (F.col("col") <= col))
+    open_ = (F.col("end_line") > line) | ((F.col("end_line") == line) & (F.col("end_col") > col))
+    at = tokens.where(in_file(F.col("file_path"), file_path) & begun & open_)
+    return at.orderBy(F.col("end_line") - F.col("line"), F.col("end_col") - F.col("col"), "symbol_id").limit(1).select("symbol_id")
 
 
 def goto_definition(tokens: DataFrame, symbols: DataFrame, file_path, line: int, col: int) -> DataFrame:
@@ -48,9 +53,13 @@ def goto_definition(tokens: DataFrame, symbols: DataFrame, file_path, line: int,
 
 
 def hover(tokens: DataFrame, symbols: DataFrame, file_path, line: int, col: int) -> DataFrame:
-    """The symbol at a position with its signature and documentation; blank documentation is null."""
-    doc = F.trim("xml_doc")
-    return symbols.join(symbol_at(tokens, file_path, line, col), "symbol_id", "left_semi").select("symbol_id", "name", "kind", "signature", F.when(doc != "", doc).alias("doc"))
+    """The symbol at a position with its signature and the summary of its documentation."""
+    return describe(symbols.join(symbol_at(tokens, file_path, line, col), "symbol_id", "left_semi"))
+
+
+def describe(symbols: DataFrame) -> DataFrame:
+    """symbol_id, name, kind, signature and doc: the first summary, null if there is none or the XML is malformed."""
+    return symbols.select("symbol_id", "name", "kind", "signature", doc_summary(F.col("xml_doc")).alias("doc"))
 
 
 def workspace_symbol(symbols: DataFrame, query: str, kinds: Sequence[str] | None = None, max_results: int = 100) -> DataFrame:
@@ -63,11 +72,14 @@ def workspace_symbol(symbols: DataFrame, query: str, kinds: Sequence[str] | None
 
 
 def document_outline(outline: DataFrame, symbols: DataFrame, file_path) -> DataFrame:
-    """The declarations of one document in order."""
-    mine = outline.where(F.col("file_path") == F.lit(file_path)).select("ordinal", "symbol_id")
-    return mine.join(symbols, "symbol_id").orderBy("ordinal")
+    """The declarations of one document in order, but for kinds that an outline leaves out."""
+    mine = outline.where(in_file(F.col("file_path"), file_path)).select("ordinal", "symbol_id")
+    out = mine.join(symbols, "symbol_id")
+    if "kind" in symbols.columns:
+        out = out.where(~F.coalesce(F.col("kind").isin(list(NOT_IN_OUTLINE)), F.lit(False)))
+    return out.orderBy("ordinal")
 
 
-def in_file(path: Column, wanted: str) -> Column:
-    """Whether path is the wanted document, whatever the case."""
-    return F.lower(path) == wanted.lower()
+def in_file(path: Column, wanted) -> Column:
+    """Whether path is the wanted document, whatever the case; documents may go by numbers too."""
+    return F.lower(path) == wanted.lower() if isinstance(wanted, str) else path == F.lit(wanted)

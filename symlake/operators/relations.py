@@ -24,13 +24,21 @@ def derived_types(type_edges: DataFrame, node, transitive: bool = False, kinds:
     return reach.where("depth > 0")
 
 
-def find_implementations(type_edges: DataFrame, symbols: DataFrame, node, leaf_kinds: list[str] | None = None) -> DataFrame:
-    """The symbols that implement node, directly or through others."""
-    below = closure(_down(type_edges, None), _seed(type_edges, node)).where("depth > 0").select(F.col("id").alias("symbol_id"))
+def find_implementations(type_edges: DataFrame, symbols: DataFrame, node, leaf_kinds: list[str] | None = None, member_links: DataFrame | None = None) -> DataFrame:
+    """The symbols that implement node, directly or through others; with member_links members that implement or override it too."""
+    down = _down(type_edges, None)
+    if member_links is not None:
+        down = down.union(member_links.select("linked_id", "member_id"))
+    below = closure(down, _seed(type_edges, node)).where("depth > 0").select(F.col("id").alias("symbol_id"))
     hit = symbols.join(below, "symbol_id", "left_semi")
     return hit if leaf_kinds is None else hit.where(F.col("kind").isin(leaf_kinds))
 
 
+def implementation_sites(implementations: DataFrame) -> DataFrame:
+    """The distinct places in source at which implementations are declared."""
+    return implementations.select(F.inline("locations")).where("file_path IS NOT NULL").distinct()
+
+
 def find_callers(call_edges: DataFrame, callee, max_depth: int | None = 1) -> DataFrame:
     """Call sites into callee and, beyond depth 1, into what calls it; each site once."""
     if max_depth == 1:

@@ -36,12 +36,23 @@ def overlay(base: DataFrame, fresh: DataFrame, dirty: DataFrame) -> DataFrame:
 
     base, fresh: symbol_id, declaring_docs, ...; dirty: doc_id.
     """
-    stale = base.select("symbol_id", F.explode("declaring_docs").alias("doc_id")).join(dirty, "doc_id", "left_semi").select("symbol_id").distinct()
+    stale = stale_symbols(base, dirty)
     kept = base.join(stale, "symbol_id", "left_anti")
     added = fresh.join(kept.select("symbol_id"), "symbol_id", "left_anti").dropDuplicates(["symbol_id"])
     return kept.unionByName(added)
 
 
+def stale_symbols(base: DataFrame, dirty: DataFrame) -> DataFrame:
+    """symbol_id of the symbols that any dirty document declares."""
+    return base.select("symbol_id", F.explode("declaring_docs").alias("doc_id")).join(dirty, "doc_id", "left_semi").select("symbol_id").distinct()
+
+
+def rewalk(base: DataFrame, fresh: DataFrame, dirty: DataFrame, column: str) -> DataFrame:
+    """base without the rows of dirty documents, which its column names, and the fresh rows."""
+    kept = base.join(dirty.select(F.col("doc_id").alias("__dirty")), F.col(column) == F.col("__dirty"), "left_anti")
+    return kept.unionByName(fresh)
+
+
 def reextract(symbols: DataFrame, dirty: DataFrame) -> DataFrame:
     """Documents to extract again: the dirty ones and all that declare a symbol together with them."""
     places = symbols.select("symbol_id", F.explode("declaring_docs").alias("doc_id"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import logging
+import os
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -15,7 +18,7 @@ PROJECT = "file_path STRING, package_refs ARRAY<STRUCT<name: STRING, version: ST
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*.cs") -> DataFrame:
     """doc_id, file_path, text, mtime of all source files below path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
 
 
@@ -58,3 +61,39 @@ def solution_projects(text: str) -> list[str]:
     """Project paths of a solution file, in order, of either format."""
     found = re.findall(r'^Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+\.csproj)"', text, re.M) or re.findall(r'<Project\s+[^>]*Path="([^"]+\.csproj)"', text)
     return [p.replace("\\", "/") for p in found]
+
+
+def read_solution(path: str) -> list[str]:
+    """Paths of the projects of a solution file, resolved against its folder."""
+    with open(path, encoding="utf-8-sig") as f:
+        return [os.path.normpath(os.path.join(os.path.dirname(path), p)) for p in solution_projects(f.read())]
+
+
+def find_solution(start: str) -> str | None:
+    """The first solution file from a folder upwards: in each folder .sln before .slnx, then by name."""
+    folder = os.path.abspath(start)
+    while True:
+        for end in (".sln", ".slnx"):
+            found = sorted(n for n in os.listdir(folder) if n.lower().endswith(end))
+            if found:
+                return os.path.join(folder, found[0])
+        if folder == (folder := os.path.dirname(folder)):
+            return None
+
+
+class LineFormatter(logging.Formatter):
+    """``{UTC time in ISO 8601} {level} {name} - {message}``"""
+
+    def format(self, record: logging.LogRecord) -> str:
+        at = datetime.datetime.fromtimestamp(record.created, datetime.UTC).isoformat(timespec="milliseconds")
+        return f"{at} {record.levelname} {record.name} - {record.getMessage()}"
+
+
+def log_to(path: str, name: str = "symlake", level: int = logging.INFO) -> logging.Logger:
+    """A logger that appends a line for each record to a file and flushes it."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    log, handler = logging.getLogger(name), logging.FileHandler(path, "a", encoding="utf-8")
+    handler.setFormatter(LineFormatter())
+    log.addHandler(handler)
+    log.setLevel(level)
+    return log
