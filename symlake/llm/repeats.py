@@ -5,6 +5,7 @@ Both work on windows, find each window's anchor (``anchors``) and go through the
 1. ``recurring``: anchors' grams are dealt by hash, sorted outside of memory, and those that occur at two places
    or more of the corpus go back to their rows. A gram that recurs within GROUP places of a task is known to
    recur there, so of its rows only one is dealt by the gram: frequent grams make no large partition.
+   What travels in these two steps is packed: one row holds the pairs (gram, row) that a task has for a part.
 2. ``located``: those rows are read with their recurring grams and cut into segments, runs of neighbouring
    windows with one such anchor. A segment is known by its gram and a hash of its content, 128 bits together,
    and lies at a place of a row.
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlake.llm.common import drop_dir, free_shuffles, released, table, text_chunks
+from symlake.llm.common import U64, drop_dir, free_shuffles, raw, released, table, text_chunks
 from symlake.llm.suffixes import merged, work_folder
 
 #: Null ids count as this one.
@@ -102,18 +103,40 @@ def repeated(pairs: Iterator[tuple[np.ndarray, np.ndarray]], folder: str, **opti
         held = int(gram[-1]), int(row[-1]), bool(more[-1])
 
 
-def recurring(docs: DataFrame, places: Places, folder: str, limit: int) -> DataFrame:
-    """row, known: the grams in a row that occur at two places or more of the corpus."""
-    names = ["gram", "row", "sure"]
+def packed(pairs: np.ndarray, part: np.ndarray, name: str, **more: pa.Array) -> pa.RecordBatch:
+    """One row for each part: its pairs (rows of two numbers) as bytes."""
+    order = np.argsort(part, kind="stable")
+    part, data = part[order], pairs[order].tobytes()
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    ends = [*first[1:].tolist(), len(part)]
+    cells = [data[16 * x : 16 * y] for x, y in zip(first.tolist(), ends, strict=False)] if len(part) else []
+    cols = {name: pa.array(part[first].astype(np.int32)), "pairs": pa.array(cells, pa.binary())} | {k: pa.repeat(v, len(first)) for k, v in more.items()}
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols.values()], names=list(cols))
+
+
+def unpacked(cells: pa.Array) -> np.ndarray:
+    return np.frombuffer(raw(cells)[0], np.int64).reshape(-1, 2)
+
+
+def _part(x: np.ndarray, parts: int) -> np.ndarray:
+    return (np.ascontiguousarray(x).view(U64) >> U64(20)) % U64(parts)
+
+
+def recurring(docs: DataFrame, places: Places, folder: str, limit: int) -> tuple[DataFrame, int]:
+    """q, pairs: (gram, row) of the grams in a row that occur at two places or more of the corpus, dealt by row into q of so many parts."""
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = 4 * n
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, rows, n = [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(x) for x in dealt(np.concatenate(grams), np.concatenate(rows))], names=names)
+        def flush() -> Iterator[pa.RecordBatch]:
+            gram, row, sure = dealt(np.concatenate(grams), np.concatenate(rows))
+            for which, key in ((~sure, gram), (sure, row)):
+                if which.any():
+                    yield packed(np.stack((gram[which], row[which]), 1), _part(key[which], parts), "part", sure=pa.scalar(bool(sure[which][0])))
             grams.clear()
             rows.clear()
-            return out
 
         for part, data, off in text_chunks(batches, limit=limit):
             row, gram = places(data, off)
@@ -121,66 +144,89 @@ def recurring(docs: DataFrame, places: Places, folder: str, limit: int) -> DataF
             rows.append(part.column("row").to_numpy()[row])
             n += len(row)
             if n >= GROUP:
-                yield flush()
+                yield from flush()
                 n = 0
         if grams:
-            yield flush()
+            yield from flush()
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = work_folder()
-        known: list[pa.RecordBatch] = []
-
-        def unsure() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for b in batches:
-                sure = b.column("sure")
-                known.append(b.filter(sure).select(["row", "gram"]))
-                rest = b.filter(pc.invert(sure))
-                yield rest.column("gram").to_numpy(), rest.column("row").to_numpy()
-
         try:
-            yield from sent(unsure(), known, work)
+            with tempfile.TemporaryFile(dir=work) as f:  # what is sure waits there while the rest is sorted
+
+                def unsure() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                    for b in batches:
+                        sure = b.column("sure")
+                        f.write(unpacked(b.column("pairs").filter(sure)))
+                        yield tuple(unpacked(b.column("pairs").filter(pc.invert(sure))).T)
+
+                def known() -> Iterator[np.ndarray]:
+                    for gram, row in repeated(unsure(), work):
+                        yield np.stack((gram, row), 1)
+                    f.seek(0)
+                    while block := f.read(GROUP * 16):
+                        yield np.frombuffer(block, np.int64).reshape(-1, 2)
+
+                held: list[np.ndarray] = []
+                for pairs in known():
+                    held.append(pairs)
+                    if sum(map(len, held)) >= GROUP:
+                        pairs = np.concatenate(held)
+                        yield packed(pairs, _part(pairs[:, 1], parts), "q")
+                        held.clear()
+                if held:
+                    pairs = np.concatenate(held)
+                    yield packed(pairs, _part(pairs[:, 1], parts), "q")
         finally:
             shutil.rmtree(work, ignore_errors=True)
 
-    def sent(pairs: Iterator[tuple[np.ndarray, np.ndarray]], known: list[pa.RecordBatch], work: str) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryFile(dir=work) as f:  # sure rows wait there while the others are sorted
+    found = docs.select("row", "text").mapInArrow(released(deal), "part int, pairs binary, sure boolean").repartition(n, "part")
+    return table(docs.sparkSession, found.mapInArrow(released(twice), "q int, pairs binary"), f"{folder}/known"), parts
 
-            def waiting() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for gram, row in pairs:
-                    for b in known:
-                        f.write(np.stack((b.column("row").to_numpy(), b.column("gram").to_numpy()), 1).tobytes())
-                    known.clear()
-                    yield gram, row
 
-            for gram, row in repeated(waiting(), work):
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(row)), pa.array(np.ascontiguousarray(gram))], names=["row", "gram"])
-            f.seek(0)
-            while block := f.read(1 << 20):
-                x = np.frombuffer(block, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["row", "gram"])
-
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = docs.select("row", "text").mapInArrow(released(deal), "gram long, row long, sure boolean")
-    found = found.repartition(n, F.when(F.col("sure"), F.col("row")).otherwise(F.col("gram"))).mapInArrow(released(twice), "row long, gram long")
-    return table(docs.sparkSession, found.groupBy("row").agg(F.collect_list("gram").alias("known")), f"{folder}/known")
-
-
-def located(docs: DataFrame, known: DataFrame, segments: Segments, folder: str, limit: int) -> DataFrame:
-    """The places of segments (PLACE)."""
+def located(docs: DataFrame, known: tuple[DataFrame, int], segments: Segments, folder: str, limit: int) -> DataFrame:
+    """The places of segments (PLACE). Rows meet their grams in a task that holds the pairs of one part at a time."""
+    spark = docs.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found, parts = known
+    q = F.pmod(F.shiftrightunsigned("row", 20), F.lit(parts)).cast("int")
+    both = docs.select(q.alias("q"), F.lit(1).alias("kind"), "doc", "row", "text", F.lit(None).cast("binary").alias("pairs"))
+    null = lambda kind: F.lit(None).cast(kind)
+    both = both.union(found.select("q", F.lit(0), null("long"), null("long"), null("string"), "pairs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in text_chunks(batches, limit=limit):
-            row, gram, content, at, starts = segments(data, off, np.unique(listed(part.column("known"))[1].to_numpy()))
-            ids = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram), pa.array(content), part.column("doc").take(ids), part.column("row").take(ids), pa.array(at.astype(np.int32)), pa.array(starts.astype(np.int32))],
-                names=["gram", "content", "doc", "row", "at", "starts"],
-            )
-
-    here = docs.join(known.hint("shuffle_hash"), "row").select("doc", "row", "text", "known")
-    out = table(docs.sparkSession, here.mapInArrow(released(cut), PLACE), f"{folder}/places")
-    drop_dir(docs.sparkSession, f"{folder}/known")
+        now, held = -1, []
+        pairs = np.zeros((0, 2), np.int64)  # of part now, by row
+        for batch in batches:
+            part, kind = (batch.column(c).to_numpy() for c in ("q", "kind"))
+            new = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])))) if batch.num_rows else []
+            for lo, hi in zip(new, [*new[1:], batch.num_rows], strict=True):
+                run = batch.slice(lo, hi - lo)
+                if part[lo] != now:
+                    now, held, pairs = part[lo], [], pairs[:0]
+                if kind[lo] == 0:
+                    held.append(unpacked(run.column("pairs")))
+                    continue
+                if held:
+                    pairs = np.concatenate([pairs, *held])
+                    pairs, held = pairs[np.argsort(pairs[:, 1])], []
+                if not len(pairs):
+                    continue
+                run = run.filter(pa.array(np.isin(run.column("row").to_numpy(), pairs[:, 1])))
+                for docs_, data, off in text_chunks([run], limit=limit):
+                    rows = docs_.column("row").to_numpy()
+                    first, last = np.searchsorted(pairs[:, 1], rows, "left"), np.searchsorted(pairs[:, 1], rows, "right")
+                    mine = np.concatenate([pairs[x:y, 0] for x, y in zip(first.tolist(), last.tolist(), strict=True)])
+                    row, gram, content, at, starts = segments(data, off, np.unique(mine))
+                    ids = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(gram), pa.array(content), docs_.column("doc").take(ids), docs_.column("row").take(ids), pa.array(at.astype(np.int32)), pa.array(starts.astype(np.int32))],
+                        names=["gram", "content", "doc", "row", "at", "starts"],
+                    )
+
+    here = both.repartition(n, "q").sortWithinPartitions("q", "kind")
+    out = table(spark, here.mapInArrow(released(cut), PLACE), f"{folder}/places")
+    drop_dir(spark, f"{folder}/known")
     return out
 
 
