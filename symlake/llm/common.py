@@ -108,6 +108,15 @@ def read_shard(uri: str) -> pa.Table:
 # --- tasks ---------------------------------------------------------------------------------------
 
 
+def trim() -> None:
+    """Give the memory that this process no longer uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if malloc_trim is not None:  # glibc
+        malloc_trim(0)
+
+
 def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """work, after which its worker gives the memory that it no longer uses back to the machine."""
 
@@ -116,10 +125,7 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:  # glibc
-                trim(0)
+            trim()
 
     return run
 

@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import BYTE_VALUE, CHUNK_BYTES, LOWER, NOT_ALNUM, U64, gram_hashes, raw, read, released, text_chunks, word_hashes, words
+from symlake.llm.common import BYTE_VALUE, CHUNK_BYTES, LOWER, NOT_ALNUM, U64, gram_hashes, raw, read, released, text_chunks, trim, word_hashes, words
 
 WINDOW, STRIDE = 64, 48
-FIT_ROWS = 1500
-FIT_BYTES = 6 << 20
+FIT_ROWS = 1000
+FIT_BYTES = 4 << 20
 FIT_TEXT = 1 << 20
 EPOCHS = 5
 #: Parts of the sample; a part's associations come from the others.
@@ -411,7 +411,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, epochs: in
     found = docs.where(size <= FIT_TEXT).join(F.broadcast(drawn), "__id")
     rows = found.groupBy("__id", "__y").agg(F.min("text").alias("text")).collect()  # one text for each id drawn
     rows.sort(key=lambda r: r["__id"])
-    return train([r["text"].encode("utf-8", "surrogatepass") for r in rows], np.array([r["__y"] for r in rows], np.int64), share, epochs)
+    texts, label = [r["text"].encode("utf-8", "surrogatepass") for r in rows], np.array([r["__y"] for r in rows], np.int64)
+    del rows, found
+    model = train(texts, label, share, epochs)
+    del texts
+    trim()  # the driver goes on
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
