@@ -81,10 +81,11 @@ def table(spark: SparkSession, df: DataFrame, uri: str, small: bool = False) ->
 
 
 def fs_of(uri: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's file system for a Hadoop URI; Hadoop writes file:/x where pyarrow wants file:///x."""
+    """pyarrow's file system for a Hadoop URI; Hadoop writes file:/x for file:///x, and s3a for s3."""
     if uri.startswith("file:/") and not uri.startswith("file:///"):
         uri = "file://" + uri[5:]
-    return pafs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
 
 
 def write_shards(spark: SparkSession, df: DataFrame, key: list[str], uri: str, rows_per_shard: int, ordered: bool = False) -> list[str]:
