@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symlake.llm.common import (
@@ -325,21 +325,24 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, bands
     """The rows of docs, all columns, but for those linked to a row with a smaller id.
 
     Links are between texts here: of rows that share an id but not a text each goes with its own text's group, in
-    which the row with the least id, then the least hash of the text, stays; of rows alike in id and text one stays.
+    which the row with the least id, then the least hash of the text, stays; of rows alike in id and text the one with the
+    least hash of all columns.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "minhash-dedup")
     at = placed(*classes(keyed(docs), folder, k, similarity, bands, rows))
-    at = table(spark, at.where("doc_id IS NOT NULL").groupBy("doc_id", "row").agg(F.first("comp").alias("comp"), F.count("*").alias("copies")), f"{folder}/placed")
-    first = at.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("x"))
-    judged = at.join(first, "comp", "left").withColumn("gone", F.coalesce((F.col("x.doc_id") != F.col("doc_id")) | (F.col("x.row") != F.col("row")), F.lit(False)))
-    i, r, g = (free(c, docs.columns) for c in ("id", "row", "gone"))
-    gone = table(spark, judged.where("gone OR copies > 1").select(F.col("doc_id").alias(i), F.col("row").alias(r), F.col("gone").alias(g)), f"{folder}/gone")
+    at = table(spark, at.where("doc_id IS NOT NULL AND comp IS NOT NULL").select("doc_id", "row", "comp"), f"{folder}/placed")
+    first = at.groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("x"))
+    i, r, n = (free(c, docs.columns) for c in ("id", "row", "nth"))
+    gone = at.join(first, "comp").where((F.col("x.doc_id") != F.col("doc_id")) | (F.col("x.row") != F.col("row")))
+    gone = table(spark, gone.select(F.col("doc_id").alias(i), F.col("row").alias(r)).distinct(), f"{folder}/gone")
     kept = docs.columns
     doc_id = docs["doc_id"].cast("long")
-    same = (doc_id == gone[i]) & (F.xxhash64(doc_id, docs["text"]) == gone[r])
-    again = docs.join(gone.where(~F.col(g)), same).dropDuplicates([i, r]).select(*kept)
-    return docs.join(gone, same, "left_anti").unionByName(again)
+    # documents travel once: rows alike in id and text meet where those that are gone are left out
+    left = docs.withColumn(i, doc_id).withColumn(r, F.xxhash64(doc_id, docs["text"])).join(gone.hint("merge"), [i, r], "left_anti")
+    tie = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    left = left.withColumn(n, F.row_number().over(Window.partitionBy(i, r).orderBy(tie)))
+    return left.where(F.col(i).isNull() | (F.col(n) == 1)).select(*kept)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
