@@ -13,7 +13,7 @@ so the global start of a document is base + offset. Files of a task that ran aga
 only the manifest's are read. ``read_back`` maps the files into memory where they are local, else reads
 them by ranges.
 
-Words between ASCII blanks are encoded once and kept in a bounded cache, which a task gives up when it ends:
+Words between ASCII blanks are encoded once and kept in a bounded cache, which lasts for a worker's later tasks:
 the tokenizer drops white space and no token crosses it, so the ids of a text are those of its words in order.
 
 Defined cases: null text is empty and has the end id alone; null ids come last; rows with equal ids follow
@@ -41,7 +41,7 @@ from symlake.llm.common import fs_of, read, released, shared_dir, table, text_ch
 
 END_ID = 2
 #: Words of a generation of the cache; there are two. About 130 bytes each.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Ids that are read at once (or one document) where files can't be mapped into memory.
 RANGE_IDS = 1 << 21
 MANIFEST = "part int, file string, n_docs long, n_null long, n_tokens long, width int"
@@ -118,9 +118,6 @@ class WordEncoder:
         self._learn(new)
         return [b"".join(map(self.young.__getitem__, p)) for p in parts]
 
-    def forget(self) -> None:
-        self.young, self.old = {}, {}
-
 
 def _drops_blanks(setup: dict) -> bool:
     """Whether the text is cut at white space, which is then removed, so that no id depends on both sides of a blank."""
@@ -172,7 +169,6 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
                 files["ids"].write(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 n_docs, n_null = n_docs + part.num_rows, n_null + ids.null_count
         finally:
-            encode.forget()
             for f in files.values():
                 f.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "n_docs": [n_docs], "n_null": [n_null], "n_tokens": [n_tokens], "width": pa.array([encode.width], pa.int32())})
